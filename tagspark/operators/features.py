@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagspark.functions.text import grams, tokens
 from tagspark.operators.joins import lookup, measured_bytes
 from tagspark.operators.ordering import with_row_index
+from tagspark.sources.staging import cut
 
 # Fixed value: a term is kept when this share of the documents has it.
 MIN_DF = 0.0005
@@ -100,7 +101,7 @@ class TfidfModel:
         n_docs = docs.count()
         kept = vocabulary(doc_freq(docs), n_docs, min_df)
         indexed = with_row_index(kept, "term", name="feature_id")
-        return cls(indexed.withColumn("idf", idf_of(F.col("df"), n_docs)), n_docs)
+        return cls(cut(indexed.withColumn("idf", idf_of(F.col("df"), n_docs))), n_docs)
 
     @property
     def size_bytes(self) -> int:
