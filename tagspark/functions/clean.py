@@ -45,23 +45,20 @@ def fold_case(c: Column) -> Column:
     return F.lower(c)
 
 
-def _closed_part(c: Column, end_tag: str) -> tuple[Column, Column]:
-    """Split `c` after its last end tag.
+def take_block(c: Column, name: str) -> tuple[Column, Column]:
+    """Contents of the `name` blocks, and the text with these blocks deleted.
 
-    No block can start in the second part, so matching only the first keeps
-    pages with many unclosed tags from being rescanned once per tag.
+    No block can start after the last end tag. Neither expression looks for
+    one there, so that a page with many unclosed tags is not scanned once per
+    tag. Each uses `c` once: should the optimizer inline the steps, for a
+    filter on the result say, the expression stays small.
     """
-    tail = F.substring_index(c, end_tag, -1)
-    head = F.left(c, F.length(c) - F.length(tail))
-    return head, tail
-
-
-def take_block(c: Column, name: str) -> tuple[Column, Column]:
-    """Contents of the `name` blocks, and the text with these blocks deleted."""
-    head, tail = _closed_part(c, f"</{name}>")
     pattern = BLOCK_PATTERNS[name]
-    found = F.regexp_extract_all(head, F.lit(pattern), F.lit(1))
-    rest = F.concat(F.regexp_replace(head, pattern, ""), tail)
+    upto_last_end = F.regexp_extract(c, rf"(?s).*</{name}>", 0)
+    found = F.regexp_extract_all(upto_last_end, F.lit(pattern), F.lit(1))
+    start = pattern[: pattern.index("(.*?)")]
+    unclosed = rf"({start.removeprefix('(?s)')}.*+)"
+    rest = F.regexp_replace(c, f"{pattern.replace('(.*?)', '.*?')}|{unclosed}", "$1")
     return found, rest
 
 

@@ -77,7 +77,8 @@ def _top_by_bin(df: DataFrame, items: Column, bins: int, total: int, k: int, nam
     counts = (
         df.select(segment.alias("bin"), items.alias("_items"))
         .filter(F.col("bin").isNotNull())
-        .select("bin", F.explode("_items").alias(name))
+        .select("bin", F.explode_outer("_items").alias(name))
+        .filter(F.col(name).isNotNull())
         .groupBy("bin", name)
         .agg(F.count(F.lit(1)).alias("cnt"))
     )

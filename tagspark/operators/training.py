@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.functions.losses import sigmoid, squared_hinge
 from tagspark.operators.features import BIAS_ID
+from tagspark.operators.projection import corrupt
 from tagspark.operators.scoring import LinearModel, f_measure, label_bit, linear_sums
 from tagspark.sources.staging import cut, stage
 
@@ -243,6 +244,22 @@ def train_tags(
     return Trained(LinearModel(cut(weights), list(names)), history)
 
 
+def dense_noise(k: int, max_steps: int, seed: int) -> Callable[[DataFrame, int], DataFrame]:
+    """Corruption for dense rows of width `k`: fresh noise per iteration, of falling
+    level. Bias and totals stay as they are."""
+
+    def apply(rows: DataFrame, step: int) -> DataFrame:
+        level = max(1.0 - step / max_steps, 0.0)
+        noisy = corrupt(
+            F.col("value"), F.lit(level), F.col("idx"), F.col("feature_id"), k, seed + 2 * step
+        )
+        return rows.withColumn(
+            "value", F.when(F.col("feature_id") >= 0, noisy).otherwise(F.col("value"))
+        )
+
+    return apply
+
+
 def keep_best_in(state: DataFrame, stepped: DataFrame, better: Sequence[bool]) -> DataFrame:
     """Write the improved tags' new weights into the `best` column of the state."""
     if not any(better):
