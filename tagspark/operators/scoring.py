@@ -109,20 +109,19 @@ def predict_tags(
     return scored.select(*keys, F.concat_ws(" ", *chosen).alias("tags"))
 
 
-def f_measure(scored: DataFrame, n_tags: int, threshold: float = THRESHOLD) -> DataFrame:
-    """`(rank, soft_f, hard_f)` of rows with `scores` and `labels` bits."""
-    aggs = []
-    for r in range(n_tags):
-        y, p = label_bit(F.col("labels"), r), F.get("scores", F.lit(r))
-        hard = (p > threshold).cast("double")
-        aggs.append(
-            F.struct(
-                F.lit(r).alias("rank"),
-                soft_f_measure(F.sum(y * p), F.sum(y + p)).alias("soft_f"),
-                soft_f_measure(F.sum(y * hard), F.sum(y + hard)).alias("hard_f"),
-            )
-        )
-    return scored.agg(F.array(*aggs).alias("_m")).select(F.inline("_m"))
+def f_measure(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`(rank, soft_f, hard_f)` of rows with `scores` and `labels` bits.
+
+    The pairs of a row and a tag are summed in the partition that makes them.
+    """
+    pairs = scored.select("labels", F.posexplode("scores").alias("rank", "p"))
+    y = F.expr("(shiftright(labels, rank) & 1)").cast("double")
+    pairs = pairs.select("rank", "p", y.alias("y"), (F.col("p") > threshold).cast("double").alias("h"))
+    y, p, h = F.col("y"), F.col("p"), F.col("h")
+    return pairs.groupBy("rank").agg(
+        soft_f_measure(F.sum(y * p), F.sum(y + p)).alias("soft_f"),
+        soft_f_measure(F.sum(y * h), F.sum(y + h)).alias("hard_f"),
+    )
 
 
 def eval_margin(outputs: DataFrame, squared_weights: Column, decay: float = 0.001) -> DataFrame:

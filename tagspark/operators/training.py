@@ -108,26 +108,32 @@ def gradient_sums(
     )
 
 
-def gradients(sums: DataFrame, n_tags: int, settings: Settings, weight: str = "w") -> list[Column]:
-    """Per-tag gradient columns for rows that carry `a`, `b` and the weights.
+def with_gradients(state: DataFrame, n_tags: int, settings: Settings) -> DataFrame:
+    """Replace the sums `a`, `b`, `n` beside the weights by `g`, the gradients.
 
-    `sums` must be stored: its totals row is read apart.
+    `state` must be stored: its totals row is read apart, and dropped here.
     """
-    total = sums.filter(F.col("feature_id") == TOTALS_ID).select(F.struct("a", "b", "n")).scalar()
-    n = total["n"].cast("double")
+    is_totals = F.col("feature_id") == TOTALS_ID
+    total = state.filter(is_totals).select(F.struct("a", "b", "n")).scalar()
     penalty = F.when(F.col("feature_id") == BIAS_ID, F.lit(0.0)).otherwise(
-        F.lit(2.0 * settings.weight_decay) / n
+        F.lit(2.0 * settings.weight_decay) / F.col("_total.n").cast("double")
     )
-    out = []
+    slopes = []
     for r in range(n_tags):
-        a, b = F.coalesce(F.get("a", F.lit(r)), F.lit(0.0)), F.coalesce(F.get("b", F.lit(r)), F.lit(0.0))
+        at = F.lit(r)
+        a, b = (F.coalesce(F.get(c, at), F.lit(0.0)) for c in ("a", "b"))
         if settings.loss == "f_measure":
-            hits, mass = F.get(total["a"], F.lit(r)), F.get(total["b"], F.lit(r))
+            hits, mass = F.get("_total.a", at), F.get("_total.b", at)
             slope = F.lit(2.0) * hits / (mass * mass) * b - F.lit(2.0) / mass * a
         else:
-            slope = a / n
-        out.append(slope + penalty * F.get(weight, F.lit(r)))
-    return out
+            slope = a / F.col("_total.n")
+        slopes.append(slope + penalty * F.get("w", at))
+    others = [c for c in state.columns if c not in ("a", "b", "n")]
+    return (
+        state.filter(~is_totals)
+        .withColumn("_total", total)
+        .select(*others, F.array(*slopes).alias("g"))
+    )
 
 
 def rmsprop(
@@ -155,27 +161,17 @@ def initial_state(feature_ids: DataFrame, n_tags: int) -> DataFrame:
 
 def updated(state: DataFrame, n_tags: int, settings: Settings) -> DataFrame:
     """The state after one optimizer step with the sums stored beside it."""
-    slopes = gradients(state, n_tags, settings)
-    stepped = state.filter(F.col("feature_id") != TOTALS_ID).select(
-        "feature_id", "w", "ms", "mom", "best", F.array(*slopes).alias("_g")
-    )
     steps = [
-        rmsprop(*[F.get(c, F.lit(r)) for c in ("w", "ms", "mom", "_g")], settings)
+        rmsprop(*[F.get(c, F.lit(r)) for c in ("w", "ms", "mom", "g")], settings)
         for r in range(n_tags)
     ]
-    return stepped.select(
+    return with_gradients(state, n_tags, settings).select(
         "feature_id",
         *[F.array(*[s[i] for s in steps]).alias(c) for i, c in enumerate(("w", "ms", "mom"))],
         "best",
     )
 
 
-def keep_best(state: DataFrame, better: Sequence[bool]) -> DataFrame:
-    """Take over the weights of the tags that improved."""
-    picked = [F.get("w" if b else "best", F.lit(r)) for r, b in enumerate(better)]
-    return state.withColumn("best", F.array(*picked))
-
-
 def train_tags(
     train: DataFrame,
     valid: DataFrame,
@@ -234,7 +230,7 @@ def train_tags(
             better = [s > b for s, b in zip(scores, best)]
             best = [max(s, b) for s, b in zip(scores, best)]
             history.append((i + 1, scores))
-            state = keep_best_in(state, stepped, better)
+            state = keep_best(state, stepped, better)
     valid.unpersist()
     if whole is not None:
         whole.unpersist()
@@ -260,11 +256,12 @@ def dense_noise(k: int, max_steps: int, seed: int) -> Callable[[DataFrame, int],
     return apply
 
 
-def keep_best_in(state: DataFrame, stepped: DataFrame, better: Sequence[bool]) -> DataFrame:
+def keep_best(state: DataFrame, stepped: DataFrame, better: Sequence[bool]) -> DataFrame:
     """Write the improved tags' new weights into the `best` column of the state."""
     if not any(better):
         return state
-    chosen = keep_best(stepped, better).select("feature_id", F.col("best").alias("_best"))
+    picked = [F.get("w" if b else "best", F.lit(r)) for r, b in enumerate(better)]
+    chosen = stepped.select("feature_id", F.array(*picked).alias("_best"))
     return cut(
         state.join(chosen, "feature_id", "left")
         .withColumn("best", F.coalesce("_best", "best"))
@@ -282,7 +279,7 @@ def validation_scores(
     z = [F.col(f"z{r}") for r in range(n_tags)]
     if loss == "f_measure":
         scored = sums.select("labels", F.array(*[sigmoid(c) for c in z]).alias("scores"))
-        rows = f_measure(scored, n_tags).select("rank", "soft_f").collect()
+        rows = f_measure(scored).select("rank", "soft_f").collect()
         return [r["soft_f"] for r in sorted(rows, key=lambda r: r["rank"])]
     losses = [
         F.avg(squared_hinge(F.lit(2.0) * label_bit(F.col("labels"), r) - F.lit(1.0), z[r]))

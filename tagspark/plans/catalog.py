@@ -300,7 +300,7 @@ def eval_margin(spark, sf):
 def f_measure(spark, sf):
     rows, _, model = scored_train(spark, sf)
     scored = scoring.score(rows, model, ("idx", "labels"))
-    return scoring.f_measure(scored, len(model.tags)).select(
+    return scoring.f_measure(scored).select(
         F.col("rank").cast("long").alias("rank"), r6("soft_f").alias("soft_f"), r6("hard_f").alias("hard_f")
     )
 
@@ -592,15 +592,14 @@ def first_step(spark, sf):
         rows, start.select("feature_id", "w"), n, measured_bytes(start), settings.loss
     )
     state = cut(start.join(sums, "feature_id", "full"))
-    slopes = training.gradients(state, n, settings)
     named = model.terms.select("feature_id", "term").unionByName(
         spark.range(1).select(
             F.lit(BIAS_ID).cast("long").alias("feature_id"), F.lit(BIAS_TERM).alias("term")
         )
     )
     return (
-        state.filter(F.col("feature_id") != training.TOTALS_ID)
-        .select("feature_id", "w", "ms", "mom", F.posexplode(F.array(*slopes)).alias("rank", "g"))
+        training.with_gradients(state, n, settings)
+        .select("feature_id", "w", "ms", "mom", F.posexplode("g").alias("rank", "g"))
         .join(named, "feature_id"),
         settings,
     )

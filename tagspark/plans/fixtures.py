@@ -73,10 +73,12 @@ def odds_weights(features: DataFrame, names: list[str]) -> LinearModel:
     is_bias = F.col("feature_id") == BIAS_ID
 
     def weight(r: int) -> Column:
-        pos, all_pos = F.get("pos", F.lit(r)), F.get(total["pos"], F.lit(r))
-        neg, all_neg = F.col("n") - pos, total["n"] - all_pos
+        pos, all_pos = F.get("pos", F.lit(r)), F.get("total.pos", F.lit(r))
+        neg, all_neg = F.col("n") - pos, F.col("total.n") - all_pos
         odds = F.ln((pos + 1) / (all_pos + 2)) - F.ln((neg + 1) / (all_neg + 2))
         return F.when(is_bias, F.ln((pos + 1) / (neg + 1))).otherwise(odds)
 
-    weights = counts.select("feature_id", F.array(*[weight(r) for r in n]).alias("w"))
+    weights = counts.withColumn("total", total).select(
+        "feature_id", F.array(*[weight(r) for r in n]).alias("w")
+    )
     return LinearModel(cut(weights), names)
