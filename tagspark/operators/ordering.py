@@ -132,5 +132,5 @@ def top_k_per_group(counts: DataFrame, group: str, k: int, item: str, n: str = "
     """
     ranking = Window.partitionBy(group).orderBy(F.desc(n), F.asc(item))
     return (
-        counts.withColumn("position", F.row_number().over(ranking)).filter(F.col("position") <= k)
+        counts.withColumn("position", F.row_number().over(ranking).cast("long")).filter(F.col("position") <= k)
     )

@@ -28,7 +28,7 @@ def projection(
     A cell depends on its own position only. The dimensions are generated
     within each feature's row and the zero cells dropped in the same step.
     """
-    dims = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("dim")
+    dims = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("dim")
     draw = cell_hash(F.col("feature_id") * k + F.col("dim"), seed) % draws(n_features)
     return (
         features.select("feature_id", dims)
@@ -59,7 +59,7 @@ def project(features: DataFrame, cells: DataFrame, idx: str = "idx") -> DataFram
 def dense_rows(projected: DataFrame, rows: DataFrame, k: int, idx: str = "idx") -> DataFrame:
     """Every dimension of every row, zeros included."""
     zeros = rows.select(
-        idx, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("dim"), F.lit(0.0).alias("value")
+        idx, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("dim"), F.lit(0.0).alias("value")
     )
     return (
         projected.select(idx, "dim", "value")

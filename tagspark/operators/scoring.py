@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.functions.clean import words
-from tagspark.functions.losses import sigmoid, soft_f_measure, squared_hinge
+from tagspark.functions.losses import soft_f_measure, squared_hinge
 from tagspark.operators.joins import lookup, measured_bytes
 
 # Fixed value: a tag is chosen when its score is above this.
@@ -63,9 +63,9 @@ def label_bits(tags: Column, names: Sequence[str]) -> Column:
     return bits
 
 
-def label_bit(labels: Column, rank: int) -> Column:
-    """0.0 or 1.0."""
-    return F.shiftright(labels, rank).bitwiseAND(F.lit(1)).cast("double")
+def label_bit(rank: int, labels: str = "labels") -> str:
+    """SQL of the target of one tag: 0.0 or 1.0."""
+    return f"cast(shiftright({labels}, {rank}) & 1 as double)"
 
 
 def linear_sums(
@@ -76,9 +76,7 @@ def linear_sums(
     The join emits one row per feature of a document, not one per tag, and the
     sums of all tags are taken together. The first key identifies the row.
     """
-    sums = [
-        F.sum(F.col("value") * F.get("w", F.lit(r))).alias(f"z{r}") for r in range(n_tags)
-    ]
+    sums = [F.expr(f"sum(value * get(w, {r})) as z{r}") for r in range(n_tags)]
     rows = features.select(*keys, "feature_id", "value")
     return lookup(rows, weights, "feature_id", keys[0], dim_bytes).groupBy(*keys).agg(*sums)
 
@@ -88,7 +86,8 @@ def score(features: DataFrame, model: LinearModel, keys: Sequence[str] = ("idx",
     that a document without any known term gets `sigmoid(bias)`."""
     n = len(model.tags)
     sums = linear_sums(features, model.weights, n, model.size_bytes, keys)
-    return sums.select(*keys, F.array(*[sigmoid(F.col(f"z{r}")) for r in range(n)]).alias("scores"))
+    scores = ", ".join(f"1D / (1D + exp(-z{r}))" for r in range(n))
+    return sums.selectExpr(*keys, f"array({scores}) as scores")
 
 
 def score_rows(scored: DataFrame, keys: Sequence[str] = ("idx",)) -> DataFrame:

@@ -16,9 +16,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tagspark.functions.losses import sigmoid, squared_hinge
 from tagspark.operators.features import BIAS_ID
 from tagspark.operators.projection import corrupt
 from tagspark.operators.scoring import LinearModel, f_measure, label_bit, linear_sums
@@ -76,35 +75,27 @@ def gradient_sums(
     tags = range(n_tags)
     results = linear_sums(features, weights, n_tags, dim_bytes, ["idx", "labels"]).drop("labels")
     joined = features.select("idx", "labels", "feature_id", "value").join(results, "idx")
-    is_totals = F.col("feature_id") == TOTALS_ID
-    value = F.col("value")
-    columns: list[Column] = []
+    terms = []
     for r in tags:
-        y, z = label_bit(F.col("labels"), r), F.col(f"z{r}")
+        y, z = label_bit(r), f"z{r}"
         if loss == "f_measure":
-            p = sigmoid(z)
-            q = value * p * (F.lit(1.0) - p)
-            a = F.when(is_totals, y * p).otherwise(y * q)
-            b = F.when(is_totals, y + p).otherwise(q)
+            p = f"(1D / (1D + exp(-{z})))"
+            q = f"value * {p} * (1D - {p})"
+            a, b = (f"{y} * {p}", f"{y} * {q}"), (f"{y} + {p}", q)
         else:
-            t = F.lit(2.0) * y - F.lit(1.0)
-            slope = F.lit(-2.0) * t * F.greatest(F.lit(1.0) - t * z, F.lit(0.0))
-            a = F.when(is_totals, squared_hinge(t, z)).otherwise(value * slope)
-            b = F.when(is_totals, F.abs(z - t)).otherwise(F.lit(0.0))
-        columns += [a.alias(f"a{r}"), b.alias(f"b{r}")]
+            t = f"(2D * {y} - 1D)"
+            short = f"greatest(1D - {t} * {z}, 0D)"
+            a = (f"{short} * {short}", f"value * -2D * {t} * {short}")
+            b = (f"abs({z} - {t})", "0D")
+        for name, (in_totals, in_feature) in (("a", a), ("b", b)):
+            terms.append(f"if(feature_id = {TOTALS_ID}, {in_totals}, {in_feature}) as {name}{r}")
+    sums = [f"sum({c}{r}) as {c}{r}" for c in "ab" for r in tags]
+    arrays = [f"array({', '.join(f'{c}{r}' for r in tags)}) as {c}" for c in "ab"]
     return (
-        joined.select("feature_id", *columns)
+        joined.selectExpr("feature_id", *terms)
         .groupBy("feature_id")
-        .agg(
-            *[F.sum(f"{c}{r}").alias(f"{c}{r}") for c in "ab" for r in tags],
-            F.count(F.lit(1)).alias("n"),
-        )
-        .select(
-            "feature_id",
-            F.array(*[f"a{r}" for r in tags]).alias("a"),
-            F.array(*[f"b{r}" for r in tags]).alias("b"),
-            "n",
-        )
+        .agg(*map(F.expr, sums), F.count(F.lit(1)).alias("n"))
+        .selectExpr("feature_id", *arrays, "n")
     )
 
 
@@ -115,42 +106,38 @@ def with_gradients(state: DataFrame, n_tags: int, settings: Settings) -> DataFra
     """
     is_totals = F.col("feature_id") == TOTALS_ID
     total = state.filter(is_totals).select(F.struct("a", "b", "n")).scalar()
-    penalty = F.when(F.col("feature_id") == BIAS_ID, F.lit(0.0)).otherwise(
-        F.lit(2.0 * settings.weight_decay) / F.col("_total.n").cast("double")
-    )
-    slopes = []
-    for r in range(n_tags):
-        at = F.lit(r)
-        a, b = (F.coalesce(F.get(c, at), F.lit(0.0)) for c in ("a", "b"))
+    penalty = f"if(feature_id = {BIAS_ID}, 0D, {2.0 * settings.weight_decay}D / _total.n)"
+
+    def slope(r: int) -> str:
+        a, b = f"coalesce(get(a, {r}), 0D)", f"coalesce(get(b, {r}), 0D)"
         if settings.loss == "f_measure":
-            hits, mass = F.get("_total.a", at), F.get("_total.b", at)
-            slope = F.lit(2.0) * hits / (mass * mass) * b - F.lit(2.0) / mass * a
+            hits, mass = f"get(_total.a, {r})", f"get(_total.b, {r})"
+            loss = f"2D * {hits} / ({mass} * {mass}) * {b} - 2D / {mass} * {a}"
         else:
-            slope = a / F.col("_total.n")
-        slopes.append(slope + penalty * F.get("w", at))
+            loss = f"{a} / _total.n"
+        return f"{loss} + {penalty} * get(w, {r})"
+
     others = [c for c in state.columns if c not in ("a", "b", "n")]
     return (
         state.filter(~is_totals)
         .withColumn("_total", total)
-        .select(*others, F.array(*slopes).alias("g"))
+        .selectExpr(*others, f"array({', '.join(map(slope, range(n_tags)))}) as g")
     )
 
 
 def rmsprop(
-    w: Column, ms: Column, mom: Column, gradient: Column, settings: Settings
-) -> tuple[Column, Column, Column]:
-    """New weight, mean square and momentum."""
+    settings: Settings, w: str = "w", ms: str = "ms", mom: str = "mom", g: str = "g"
+) -> tuple[str, str, str]:
+    """SQL of the new weight, mean square and momentum from the old ones and the gradient."""
     s = settings
-    new_ms = F.lit(s.decay) * ms + F.lit(1.0 - s.decay) * gradient * gradient
-    new_mom = F.lit(s.momentum) * mom + F.lit(s.step_rate) * gradient / F.sqrt(
-        new_ms + F.lit(s.epsilon)
-    )
-    return w - new_mom, new_ms, new_mom
+    new_ms = f"({s.decay}D * {ms} + {1.0 - s.decay}D * {g} * {g})"
+    new_mom = f"({s.momentum}D * {mom} + {s.step_rate}D * {g} / sqrt({new_ms} + {s.epsilon}D))"
+    return f"{w} - {new_mom}", new_ms, new_mom
 
 
 def initial_state(feature_ids: DataFrame, n_tags: int) -> DataFrame:
     """All weights 0, for the given features and the bias."""
-    zeros = F.array(*[F.lit(0.0)] * n_tags)
+    zeros = F.array_repeat(F.lit(0.0), n_tags)
     bias = feature_ids.sparkSession.range(1).select(F.lit(BIAS_ID).cast("long").alias("feature_id"))
     return (
         feature_ids.select("feature_id")
@@ -162,14 +149,11 @@ def initial_state(feature_ids: DataFrame, n_tags: int) -> DataFrame:
 def updated(state: DataFrame, n_tags: int, settings: Settings) -> DataFrame:
     """The state after one optimizer step with the sums stored beside it."""
     steps = [
-        rmsprop(*[F.get(c, F.lit(r)) for c in ("w", "ms", "mom", "g")], settings)
+        rmsprop(settings, *[f"get({c}, {r})" for c in ("w", "ms", "mom", "g")])
         for r in range(n_tags)
     ]
-    return with_gradients(state, n_tags, settings).select(
-        "feature_id",
-        *[F.array(*[s[i] for s in steps]).alias(c) for i, c in enumerate(("w", "ms", "mom"))],
-        "best",
-    )
+    arrays = [f"array({', '.join(s[i] for s in steps)}) as {c}" for i, c in enumerate(("w", "ms", "mom"))]
+    return with_gradients(state, n_tags, settings).selectExpr("feature_id", *arrays, "best")
 
 
 def train_tags(
@@ -203,7 +187,7 @@ def train_tags(
     state, weights = start, start
     best = [float("-inf")] * n
     history: list[tuple[int, list[float]]] = []
-    empty = F.array(*[F.lit(0.0)] * n)
+    empty = F.array_repeat(F.lit(0.0), n)
     for i in range(settings.iterations):
         if i:
             weights = updated(state, n, settings)
@@ -260,8 +244,8 @@ def keep_best(state: DataFrame, stepped: DataFrame, better: Sequence[bool]) -> D
     """Write the improved tags' new weights into the `best` column of the state."""
     if not any(better):
         return state
-    picked = [F.get("w" if b else "best", F.lit(r)) for r, b in enumerate(better)]
-    chosen = stepped.select("feature_id", F.array(*picked).alias("_best"))
+    picked = ", ".join(f"get({'w' if b else 'best'}, {r})" for r, b in enumerate(better))
+    chosen = stepped.selectExpr("feature_id", f"array({picked}) as _best")
     return cut(
         state.join(chosen, "feature_id", "left")
         .withColumn("best", F.coalesce("_best", "best"))
@@ -276,13 +260,11 @@ def validation_scores(
     sums = linear_sums(
         valid, weights.select("feature_id", "w"), n_tags, dim_bytes, ["idx", "labels"]
     )
-    z = [F.col(f"z{r}") for r in range(n_tags)]
     if loss == "f_measure":
-        scored = sums.select("labels", F.array(*[sigmoid(c) for c in z]).alias("scores"))
-        rows = f_measure(scored).select("rank", "soft_f").collect()
+        scores = ", ".join(f"1D / (1D + exp(-z{r}))" for r in range(n_tags))
+        rows = f_measure(sums.selectExpr("labels", f"array({scores}) as scores")).collect()
         return [r["soft_f"] for r in sorted(rows, key=lambda r: r["rank"])]
     losses = [
-        F.avg(squared_hinge(F.lit(2.0) * label_bit(F.col("labels"), r) - F.lit(1.0), z[r]))
-        for r in range(n_tags)
+        f"avg(pow(greatest(1D - (2D * {label_bit(r)} - 1D) * z{r}, 0D), 2))" for r in range(n_tags)
     ]
-    return [-v for v in sums.agg(*losses).first()]
+    return [-v for v in sums.agg(*map(F.expr, losses)).first()]

@@ -82,15 +82,11 @@ def margins(spark: SparkSession, sf: str) -> tuple[DataFrame, scoring.LinearMode
     rows, _, model = scored_train(spark, sf)
     n = len(model.tags)
     sums = scoring.linear_sums(rows, model.weights, n, model.size_bytes, ["idx", "labels"])
-    pairs = [
-        F.struct(
-            F.lit(r).alias("rank"),
-            F.col(f"z{r}").alias("output"),
-            (F.lit(2.0) * scoring.label_bit(F.col("labels"), r) - 1).alias("target"),
-        )
+    pairs = ", ".join(
+        f"struct({r}L as rank, z{r} as output, 2D * {scoring.label_bit(r)} - 1 as target)"
         for r in range(n)
-    ]
-    return sums.select("idx", F.inline(F.array(*pairs))), model
+    )
+    return sums.selectExpr("idx", f"inline(array({pairs}))"), model
 
 
 # Scans, sources, sinks.
@@ -554,7 +550,7 @@ def corrupt(spark, sf):
 @query
 def ovr_targets(spark, sf):
     _, names = train_stats(spark, sf)
-    return scoring.targets(q_train(spark, sf), names)
+    return scoring.targets(q_train(spark, sf), names).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query
@@ -616,8 +612,8 @@ def train_step(spark, sf):
 @query
 def rmsprop_step(spark, sf):
     rows, settings = first_step(spark, sf)
-    old = [F.get(c, F.col("rank")) for c in ("w", "ms", "mom")]
-    w, ms, mom = training.rmsprop(*old, F.col("g"), settings)
+    old = [f"get({c}, rank)" for c in ("w", "ms", "mom")]
+    w, ms, mom = map(F.expr, training.rmsprop(settings, *old))
     return rows.select(
         F.col("rank").cast("long").alias("rank"), "term",
         r6(w).alias("w"), r6(ms).alias("ms"), r6(mom).alias("mom"),
@@ -649,7 +645,7 @@ def train_margin(spark, sf):
     cells = cut(proj.projection(model.terms, model.terms.count(), k))
     labelled = docs.select("idx", scoring.label_bits(F.col("tags"), names).alias("labels"))
     dense = proj.dense_rows(proj.project(model.transform(docs), cells), docs, k).select(
-        "idx", F.col("dim").cast("long").alias("feature_id"), "value"
+        "idx", F.col("dim").alias("feature_id"), "value"
     )
     ones = docs.select("idx", F.lit(BIAS_ID).cast("long").alias("feature_id"), F.lit(1.0).alias("value"))
     rows = stage(dense.unionByName(ones).join(labelled, "idx"), "dense")
@@ -683,7 +679,7 @@ def best_iteration(spark, sf):
         .agg(r6(soft_f_measure(F.sum(y * p), F.sum(y + p))).alias("score"))
     )
     return scoring.best_iteration(scores).select(
-        F.col("rank").cast("long").alias("rank"), "iteration", "score"
+        "rank", "iteration", "score"
     )
 
 
@@ -691,7 +687,7 @@ def best_iteration(spark, sf):
 def squared_hinge_loss(spark, sf):
     outputs, _ = margins(spark, sf)
     return outputs.select(
-        "idx", F.col("rank").cast("long").alias("rank"),
+        "idx", "rank",
         r6(squared_hinge(F.col("target"), F.col("output"))).alias("loss"),
     )
 

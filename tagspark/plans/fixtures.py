@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagspark.operators.features import BIAS_ID
 from tagspark.operators.scoring import LinearModel, label_bit
@@ -66,19 +66,18 @@ def odds_weights(features: DataFrame, names: list[str]) -> LinearModel:
     counts = cut(
         features.groupBy("feature_id").agg(
             F.count(F.lit(1)).cast("double").alias("n"),
-            F.array(*[F.sum(label_bit(F.col("labels"), r)) for r in n]).alias("pos"),
+            F.expr(f"array({', '.join(f'sum({label_bit(r)})' for r in n)}) as pos"),
         )
     )
     total = counts.filter(F.col("feature_id") == BIAS_ID).select(F.struct("n", "pos")).scalar()
-    is_bias = F.col("feature_id") == BIAS_ID
 
-    def weight(r: int) -> Column:
-        pos, all_pos = F.get("pos", F.lit(r)), F.get("total.pos", F.lit(r))
-        neg, all_neg = F.col("n") - pos, F.col("total.n") - all_pos
-        odds = F.ln((pos + 1) / (all_pos + 2)) - F.ln((neg + 1) / (all_neg + 2))
-        return F.when(is_bias, F.ln((pos + 1) / (neg + 1))).otherwise(odds)
+    def weight(r: int) -> str:
+        pos, all_pos = f"get(pos, {r})", f"get(total.pos, {r})"
+        neg, all_neg = f"(n - {pos})", f"(total.n - {all_pos})"
+        odds = f"ln(({pos} + 1) / ({all_pos} + 2)) - ln(({neg} + 1) / ({all_neg} + 2))"
+        return f"if(feature_id = {BIAS_ID}, ln(({pos} + 1) / ({neg} + 1)), {odds})"
 
-    weights = counts.withColumn("total", total).select(
-        "feature_id", F.array(*[weight(r) for r in n]).alias("w")
+    weights = counts.withColumn("total", total).selectExpr(
+        "feature_id", f"array({', '.join(map(weight, n))}) as w"
     )
     return LinearModel(cut(weights), names)
