@@ -54,7 +54,7 @@ def take_block(c: Column, name: str) -> tuple[Column, Column]:
     filter on the result say, the expression stays small.
     """
     pattern = BLOCK_PATTERNS[name]
-    upto_last_end = F.regexp_extract(c, rf"(?s).*</{name}>", 0)
+    upto_last_end = F.regexp_extract(c, rf"(?s)\A.*</{name}>", 0)
     found = F.regexp_extract_all(upto_last_end, F.lit(pattern), F.lit(1))
     start = pattern[: pattern.index("(.*?)")]
     unclosed = rf"({start.removeprefix('(?s)')}.*+)"
