@@ -1,8 +1,9 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Every query is run once to warm up, then $BENCH_REPEATS times (1 unless set); the
-best time counts. Progress goes to standard error. All columns of all rows are computed (noop sink). `train_iteration` is the time of
-one full-batch optimizer step over all tags of a batch.
+best time counts. Progress goes to standard error. All columns of all rows are
+computed (noop sink). `train_iteration` is the time of one full-batch optimizer
+step over all tags of a batch.
 """
 
 from __future__ import annotations
