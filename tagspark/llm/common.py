@@ -24,6 +24,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_WORDS), "")
 
 
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """`(doc_id, text)`; rows of one id become one, with the greatest text.
+
+    If every id is there once, which a count of the ids alone tells, no text is moved.
+    """
+    narrow = docs.select("doc_id", "text")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.first() is None:
+        return narrow
+    return narrow.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
 def small_stage(df: DataFrame, name: str) -> DataFrame:
     """Store a table that is known to be small as one file."""
     return stage(df.coalesce(1), name)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tagspark.llm.tokens import encoded_rows
 from tagspark.sources.staging import stage
@@ -115,7 +115,8 @@ def pack_pieces(pieces: DataFrame, caps: Capacities = Capacities()) -> DataFrame
     """
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
     groups = max(1, round(total / caps.group_tokens))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    added = [T.StructField(name, T.LongType()) for name in ("sequence_id", "offset")]
+    schema = T.StructType([*pieces.schema, *added])
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         order = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True])

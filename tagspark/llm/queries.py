@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagspark.llm.common import table
+from tagspark.llm.language import fit_text_model, identify_language
+from tagspark.llm.lm import lm_scores
+from tagspark.llm.merkle import merkle_fingerprints
 from tagspark.llm.mixing import mix_sources
 from tagspark.llm.packing import pack_documents
 from tagspark.llm.quality import judge_quality
+from tagspark.llm.simhash import near_duplicates
+from tagspark.llm.templates import dedup_lines
 from tagspark.llm.tokens import crc_of_ids, write_token_files
+from tagspark.llm.urls import UrlRule, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +37,10 @@ def op1_token_files(spark, sf):
     return files.documents(crc_of_ids, "ids_crc32 long")
 
 
+def op2_line_templates(spark, sf):
+    return dedup_lines(table(spark, sf, "documents"))
+
+
 def op3_best_fit_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents"), vocabulary(WORD_TOKENIZER), WORD_END)
 
@@ -39,14 +49,58 @@ def op4_mix_sources(spark, sf):
     return mix_sources(table(spark, sf, "documents"))
 
 
+URL_RULES = [
+    UrlRule("block", "net", "/"),
+    UrlRule("allow", "example.net", "/en/"),
+    UrlRule("block", "example.com", "/de/"),
+    UrlRule("allow", "org", "/fr/"),
+]
+
+
+def op5_url_templates(spark, sf):
+    """A page is labelled by the document whose number its path ends with."""
+    pages = table(spark, sf, "pages")
+    number = F.regexp_extract("url", r"://[^/?#]*/[^?#]*?([0-9]{1,18})[^0-9?#]*([?#]|$)", 1)
+    numbered = pages.select("page_id", number.try_cast("long").alias("doc_id"))
+    labels = table(spark, sf, "labels").select(
+        "doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
+    )
+    return judge_urls(pages, numbered.join(labels, "doc_id").select("page_id", "good"), URL_RULES)
+
+
+def op6_page_language(spark, sf):
+    model = fit_text_model(table(spark, sf, "documents"))
+    return identify_language(table(spark, sf, "pages"), model)
+
+
+def op7_recurrent_scores(spark, sf):
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    docs = table(spark, sf, "documents").withColumn("held_out", number % 7 == 2)
+    return lm_scores(docs)
+
+
+def op8_simhash(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"), shingle=4, distance=4)
+
+
 def op9_quality_votes(spark, sf):
     return judge_quality(table(spark, sf, "documents"))
 
 
+def op10_merkle_trees(spark, sf):
+    return merkle_fingerprints(table(spark, sf, "documents"))
+
+
+QUERIES = (
+    op1_token_files, op2_line_templates, op3_best_fit_packing, op4_mix_sources, op5_url_templates,
+    op6_page_language, op7_recurrent_scores, op8_simhash, op9_quality_votes, op10_merkle_trees,
+)
+
+
 def llm_queries() -> dict[str, Query]:
-    found = [op1_token_files, op3_best_fit_packing, op4_mix_sources, op9_quality_votes]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in QUERIES}
 
 
 def llm_oracles() -> dict[str, str]:
+    """None yet: models, hashes and trees are tested against plain Python instead."""
     return {}
