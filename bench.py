@@ -65,7 +65,7 @@ def main() -> None:
 
     def train(iterations: int):
         settings = training.Settings(iterations=iterations, score_every=iterations)
-        jobs.train(prepared, 0, len(names), n * 3 // 4, n // 4, settings)
+        jobs.train(prepared, 0, len(names), n * 3 // 4, n + 1 - n * 3 // 4, settings)
 
     train(1)
     one, more = timed(lambda: train(1)), timed(lambda: train(1 + ITERATIONS))

@@ -48,17 +48,20 @@ def fold_case(c: Column) -> Column:
 def take_block(c: Column, name: str) -> tuple[Column, Column]:
     """Contents of the `name` blocks, and the text with these blocks deleted.
 
-    No block can start after the last end tag. Neither expression looks for
-    one there, so that a page with many unclosed tags is not scanned once per
-    tag. Each uses `c` once: should the optimizer inline the steps, for a
-    filter on the result say, the expression stays small.
+    A start tag without an end tag, or without its own `>`, has no block after
+    it either: the next `>`, and the next end tag after that, would serve both.
+    From there on the text is passed over once, so that a page with many
+    unclosed tags is not scanned once per tag. Each expression uses `c` once:
+    should the optimizer inline the steps, for a filter on the result say, the
+    expression stays small.
     """
     pattern = BLOCK_PATTERNS[name]
-    upto_last_end = F.regexp_extract(c, rf"(?s)\A.*</{name}>", 0)
-    found = F.regexp_extract_all(upto_last_end, F.lit(pattern), F.lit(1))
-    start = pattern[: pattern.index("(.*?)")]
-    unclosed = rf"({start.removeprefix('(?s)')}.*+)"
-    rest = F.regexp_replace(c, f"{pattern.replace('(.*?)', '.*?')}|{unclosed}", "$1")
+    block = pattern.removeprefix("(?s)").replace("(.*?)", ".*?")
+    start = block[: block.index(".*?")]
+    without_end = rf"{start}.*+|<{name}\s[^>]*+\z"
+    closed = F.regexp_replace(c, rf"(?s)({block})|(?:{without_end})", "$1")
+    found = F.regexp_extract_all(closed, F.lit(pattern), F.lit(1))
+    rest = F.regexp_replace(c, rf"(?s){block}|({without_end})", "$1")
     return found, rest
 
 

@@ -159,11 +159,3 @@ def to_vectors(features: DataFrame, size: int, idx: str = "idx") -> DataFrame:
             F.col("_pairs.value").alias("values"),
         )
     )
-
-
-def ml_vectors(vectors: DataFrame, name: str = "features") -> DataFrame:
-    """Add the ML library's vector type to `to_vectors` rows, for its estimators only."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    build = F.udf(lambda n, i, v: Vectors.sparse(n, i, v), VectorUDT())
-    return vectors.withColumn(name, build("size", "indices", "values"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tagspark.sources.staging import cut
+
 # A side is broadcast only when it was measured to be at most this large.
-BROADCAST_BYTES = 256 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with more than this share of the rows is split; there are at most 1/share such keys.
 HOT_SHARE = 1e-4
 
@@ -59,7 +61,8 @@ def split_lookup(
     """
     if counts is None:
         counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_count")), "_count"
-    hot = F.broadcast(hot_keys(counts[0], key, counts[1], share))
+    # Stored, as both sides need it; else the facts would be counted once more for each use.
+    hot = F.broadcast(cut(hot_keys(counts[0], key, counts[1], share)))
     dealt = (
         facts.withColumn("_h", F.xxhash64(key))
         .join(hot, "_h", "left")

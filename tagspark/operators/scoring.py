@@ -123,14 +123,16 @@ def f_measure(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def eval_margin(outputs: DataFrame, squared_weights: Column, decay: float = 0.001) -> DataFrame:
-    """One row for margin outputs `(output, target)`: mean absolute error, mean
-    squared hinge, and the penalty `decay * sum(w*w) / n`."""
-    return outputs.agg(
+def eval_margin(outputs: DataFrame, squares: DataFrame, decay: float = 0.001) -> DataFrame:
+    """A row per tag for margin outputs `(rank, output, target)`: mean absolute error, mean
+    squared hinge, and the penalty `decay * squares / n` of `squares (rank, squares)`."""
+    measured = outputs.groupBy("rank").agg(
         F.avg(F.abs(F.col("output") - F.col("target"))).alias("mean_abs_error"),
         F.avg(squared_hinge(F.col("target"), F.col("output"))).alias("loss"),
-        (F.lit(decay) * squared_weights / F.count(F.lit(1))).alias("penalty"),
+        F.count(F.lit(1)).alias("n"),
     )
+    penalty = F.lit(decay) * F.col("squares") / F.col("n")
+    return measured.join(squares, "rank").select("rank", "mean_abs_error", "loss", penalty.alias("penalty"))
 
 
 def best_iteration(scores: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tagspark.functions.clean import ascii_lower, clean_title, process_body, tag_detected, words
 from tagspark.operators.joins import lookup, measured_bytes
 from tagspark.operators.ordering import bin_of, running_totals, top_k_per_group, with_row_index
+from tagspark.sources.staging import stage
 
 COVERAGE = (
     "in_title", "in_both_bodies", "in_body", "in_title_body", "in_title_processed", "n_tags",
@@ -39,6 +40,17 @@ def tag_offsets(df: DataFrame, tags: str = "tags") -> DataFrame:
     return with_row_index(tag_counts(df, tags), "tag", name="tag_id", start_sums={"offset": "cnt"})
 
 
+def run_widths(offsets: DataFrame) -> DataFrame:
+    """Add `width`: how far it is from the offset of each run to the next one, or to the end.
+
+    `offsets` are stored `tag_offsets`, whose ids are dense.
+    """
+    following = offsets.select((F.col("tag_id") - 1).alias("tag_id"), F.col("offset").alias("_next"))
+    end = offsets.agg(F.sum("cnt")).scalar()
+    width = F.coalesce("_next", end) - F.col("offset")
+    return offsets.join(following, "tag_id", "left").select(*offsets.columns, width.alias("width"))
+
+
 def tag_vocabulary(df: DataFrame, tags: str = "tags") -> DataFrame:
     return tag_offsets(df, tags).select("tag", "tag_id")
 
@@ -139,4 +151,5 @@ def tag_coverage(df: DataFrame) -> DataFrame:
 def running_coverage(df: DataFrame) -> DataFrame:
     """The coverage counters after each row."""
     per_row = row_coverage(df).groupBy("idx").agg(*[F.sum(c).alias(c) for c in COVERAGE])
-    return running_totals(per_row, "idx", COVERAGE)
+    # Both passes read the stored counters, so every post is cleaned once.
+    return running_totals(stage(per_row, "coverage"), "idx", COVERAGE)

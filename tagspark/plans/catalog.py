@@ -63,7 +63,7 @@ def train_stats(spark: SparkSession, sf: str, n: int = N_TAGS) -> tuple[DataFram
 
 def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, TfidfModel]:
     """The clean training posts, stored once, and their text model."""
-    docs = stage(clean_train(spark, sf), "documents")
+    docs = jobs.positioned(clean_train(spark, sf))
     return docs, TfidfModel.fit(docs, MIN_DF)
 
 
@@ -199,7 +199,7 @@ def match_known(spark, sf):
 @query
 def known_tags(spark, sf):
     train = q_train(spark, sf)
-    return dedup.known_tags(dedup.match_known(q_test(spark, sf), train), train)
+    return dedup.known_tags(cut(dedup.match_known(q_test(spark, sf), train)), train)
 
 
 @query
@@ -239,17 +239,17 @@ def tag_occurrences(spark, sf):
 
 @query
 def top_words_by_bin(spark, sf):
-    return tagstats.top_words_by_bin(clean_questions(q_docs(spark, sf)), BINS, n_rows(spark, sf))
+    return tagstats.top_words_by_bin(clean_questions(q_docs(spark, sf)), BINS, n_rows(spark, sf) + 1)
 
 
 @query
 def top_tags_by_bin(spark, sf):
-    return tagstats.top_tags_by_bin(q_docs(spark, sf), BINS, n_rows(spark, sf))
+    return tagstats.top_tags_by_bin(q_docs(spark, sf), BINS, n_rows(spark, sf) + 1)
 
 
 @query
 def row_bins(spark, sf):
-    total = n_rows(spark, sf)
+    total = n_rows(spark, sf) + 1
     return q_docs(spark, sf).select("idx", ordering.bin_of(F.col("idx"), total, BINS).alias("bin"))
 
 
@@ -284,12 +284,11 @@ def repeat_rate(spark, sf):
 @query
 def eval_margin(spark, sf):
     outputs, model = margins(spark, sf)
-    first = F.get("w", F.lit(0))
-    squares = (
-        model.weights.filter(F.col("feature_id") != BIAS_ID).agg(F.sum(first * first)).scalar()
-    )
-    measured = scoring.eval_margin(outputs.filter(F.col("rank") == 0), squares)
-    return measured.select(*[r6(c).alias(c) for c in measured.columns])
+    w = model.long_form().filter(F.col("feature_id") != BIAS_ID)
+    squares = w.groupBy("rank").agg(F.sum(F.col("w") * F.col("w")).alias("squares"))
+    measured = scoring.eval_margin(outputs, squares)
+    names = ("mean_abs_error", "loss", "penalty")
+    return measured.select(F.col("rank").cast("long").alias("rank"), *[r6(c).alias(c) for c in names])
 
 
 @query
@@ -308,8 +307,7 @@ def tag_rank(spark, sf):
 
 @query
 def tag_offsets(spark, sf):
-    # A run's width is its count again: the check on the offsets.
-    return tagstats.tag_offsets(q_docs(spark, sf)).withColumn("width", F.col("cnt"))
+    return tagstats.run_widths(cut(tagstats.tag_offsets(q_docs(spark, sf))))
 
 
 @query
@@ -352,9 +350,9 @@ def extract_blocks_joined(spark, sf):
 
 @query
 def join_fragments_text(spark, sf):
-    low = q_pages(spark, sf).select("idx", ascii_lower(F.col("body")).alias("body"))
+    low = posts_and_pages(spark, sf).select("idx", ascii_lower(F.col("body")).alias("body"))
     return extract_blocks(low).select(
-        "idx", *[join_fragments(F.col(b)).alias(b) for b in ("p", "li")]
+        "idx", *[join_fragments(F.col(b)).alias(b) for b in ("p", "li", "code", "pre")]
     )
 
 
@@ -632,7 +630,7 @@ def train_tags(spark, sf):
     settings = training.Settings(iterations=10, score_every=5)
     prepared = jobs.Prepared(docs, docs, model, stats)
     return _trained_weights(
-        jobs.train(prepared, 0, TRAIN_TAGS, n * 3 // 4, n // 4, settings, batches=2)
+        jobs.train(prepared, 0, TRAIN_TAGS, n * 3 // 4, n + 1 - n * 3 // 4, settings, batches=2)
     )
 
 
@@ -650,7 +648,7 @@ def train_margin(spark, sf):
     ones = docs.select("idx", F.lit(BIAS_ID).cast("long").alias("feature_id"), F.lit(1.0).alias("value"))
     rows = stage(dense.unionByName(ones).join(labelled, "idx"), "dense")
     n = docs.count()
-    parts = ordering.split_rows(rows, n * 3 // 4, n // 4)
+    parts = ordering.split_rows(rows, n * 3 // 4, n + 1 - n * 3 // 4)
     settings = training.Settings(
         loss="squared_hinge", step_rate=0.001, iterations=6, score_every=3
     )
@@ -665,6 +663,31 @@ def train_margin(spark, sf):
     )
 
 
+@query
+def prepare_positions(spark, sf):
+    """Positions of the posts that are left after repeated titles are dropped."""
+    left = dedup.dedup_by_title(q_train(spark, sf))
+    return jobs.positioned(clean_questions(left)).select("position", "idx")
+
+
+@query
+def predict_batches(spark, sf):
+    """Tags predicted by one model that was joined from batches of tags."""
+    rows, text_model, _ = scored_train(spark, sf)
+    _, names = train_stats(spark, sf)
+    size = jobs.TAGS_PER_BATCH
+    parts = []
+    for first in range(0, len(names), size):
+        some = names[first : first + size]
+        labels = F.shiftright("labels", first)
+        parts.append(odds_weights(rows.withColumn("labels", labels), some))
+    features = text_model.transform(
+        clean_questions(q_test(spark, sf)), keep=("test_idx",), bias=True
+    )
+    model = jobs.join_models(parts)
+    return scoring.predict_tags(scoring.score(features, model, ("test_idx",)), model.tags)
+
+
 @query
 def best_iteration(spark, sf):
     outputs, _ = margins(spark, sf)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.functions.clean import clean_questions
 from tagspark.operators.dedup import (
     dedup_by_title, drop_known, known_tags, match_known, merge_answers,
 )
 from tagspark.operators.features import MIN_DF, TfidfModel
-from tagspark.operators.ordering import split_rows
+from tagspark.operators.ordering import slice_rows, split_rows, with_row_index
 from tagspark.operators.scoring import LinearModel, label_bits, predict_tags, score
 from tagspark.operators.tagstats import tag_names, tag_rank
 from tagspark.operators.training import Settings, Trained, train_tags
@@ -28,7 +28,10 @@ PREDICTED_TAGS = 50
 
 @dataclass
 class Prepared:
-    """Tables every later step reads; `documents` is the stored clean text."""
+    """Tables every later step reads.
+
+    `documents` is the stored clean text, with the `position` of each row among them.
+    """
 
     documents: DataFrame
     repeated: DataFrame
@@ -37,21 +40,30 @@ class Prepared:
 
 
 def prepare(
-    train: DataFrame, test: DataFrame, min_df: float = MIN_DF, end: int = FIT_END
+    train: DataFrame, test: DataFrame, min_df: float = MIN_DF, end: int = -1
 ) -> Prepared:
     """Drop repeated titles, match the test titles, fit text and tag vocabularies.
 
     `train` is `(idx, title, body, tags)`, `test` is `(test_idx, title, body)`.
-    The clean text is written once and read by every later pass.
+    The clean text is written once and read by every later pass. Vocabularies and tag ranks are
+    fitted on all rows; a record number `end` (`FIT_END`, say) bounds them to the rows before it.
+    Record numbers count the rows that are left after repeated titles are dropped.
     """
     repeated = cut(match_known(test, train))
-    documents = stage(clean_questions(dedup_by_title(train)), "documents")
-    fitted, _ = split_rows(documents, end, 0)
+    documents = positioned(clean_questions(dedup_by_title(train)))
+    fitted = slice_rows(documents, 0, end, "position")
     return Prepared(
         documents, repeated, TfidfModel.fit(fitted, min_df), cut(tag_rank(fitted))
     )
 
 
+def positioned(documents: DataFrame) -> DataFrame:
+    """Documents, stored, with their dense `position` in the order of `idx`."""
+    documents = stage(documents, "clean")
+    places = with_row_index(documents.select("idx"), "idx", name="position")
+    return stage(documents.join(places, "idx"), "documents")
+
+
 def training_features(
     documents: DataFrame, text_model: TfidfModel, names: Sequence[str]
 ) -> DataFrame:
@@ -69,9 +81,13 @@ def train(
     settings: Settings = Settings(),
     batches: int = 1,
 ) -> Trained:
-    """Train the tags of the ranks `first` to `first + n_tags - 1`."""
+    """Train the tags of the ranks `first` to `first + n_tags - 1`.
+
+    The classifiers are fitted on the first `n_train` records and validated on the `n_valid`
+    records after them, the header counted as one; labelled rows after these take no part.
+    """
     names = tag_names(prepared.tag_stats, n_tags, first)
-    rows, held_out = split_rows(prepared.documents, n_train, n_valid)
+    rows, held_out = split_rows(prepared.documents, n_train, n_valid, "position")
     return train_tags(
         training_features(rows, prepared.text_model, names),
         training_features(held_out, prepared.text_model, names),
@@ -82,6 +98,43 @@ def train(
     )
 
 
+def train_all(
+    prepared: Prepared,
+    n_tags: int = PREDICTED_TAGS,
+    batch: int = TAGS_PER_BATCH,
+    n_train: int = FIT_END,
+    n_valid: int = VALIDATION_ROWS,
+    settings: Settings = Settings(),
+    batches: int = 1,
+) -> LinearModel:
+    """One model of the `n_tags` most frequent tags, trained `batch` tags at a time.
+
+    The weights of the batches are joined per feature; a feature that a batch does not know has
+    weight 0 there.
+    """
+    models = []
+    for first in range(0, n_tags, batch):
+        size = min(batch, n_tags - first)
+        models.append(train(prepared, first, size, n_train, n_valid, settings, batches).model)
+    return join_models([m for m in models if m.tags])
+
+
+def join_models(models: Sequence[LinearModel]) -> LinearModel:
+    """One model of all the tags, in order."""
+    weights = models[0].weights.select("feature_id", "w")
+    n = len(models[0].tags)
+
+    def or_zeros(w: str, size: int) -> Column:
+        return F.coalesce(w, F.array_repeat(F.lit(0.0), size))
+
+    for model in models[1:]:
+        more = model.weights.select("feature_id", F.col("w").alias("more"))
+        both = F.concat(or_zeros("w", n), or_zeros("more", len(model.tags)))
+        weights = weights.join(more, "feature_id", "full").select("feature_id", both.alias("w"))
+        n += len(model.tags)
+    return LinearModel(cut(weights), [t for m in models for t in m.tags])
+
+
 def predict(
     test: DataFrame,
     repeated: DataFrame,

@@ -410,8 +410,8 @@ _COVERAGE = (
 
 
 def _bin_sql(p: str) -> str:
-    width = f"(n // {BINS})"
-    return f"(({p} + 1) // {width}) as bin, ({p} + 1) // {width} * {width} < n as inside"
+    width = f"((n + 1) // {BINS})"
+    return f"(({p} + 1) // {width}) as bin, ({p} + 1) // {width} * {width} < n + 1 as inside"
 
 
 def _top_bin(items: str, name: str, source: str, *needs: str) -> str:
@@ -503,10 +503,11 @@ def oracles() -> dict[str, str]:
         "known", "q_test",
     )
     o["eval_margin"] = with_ctes(
-        f"""select {r6('avg(abs(z - (2 * y - 1)))')} as mean_abs_error,
+        f"""select rank, {r6('avg(abs(z - (2 * y - 1)))')} as mean_abs_error,
             {r6('avg(pow(greatest(1 - (2 * y - 1) * z, 0), 2))')} as loss,
-            {r6('0.001 * (select sum(w * w) from weights where rank = 0) / count(*)')} as penalty
-        from train_y where rank = 0""",
+            {r6('0.001 * any_value(squares) / count(*)')} as penalty
+        from train_y join (select rank, sum(w * w) as squares from weights group by rank) s using (rank)
+        group by rank""",
         "train_y", "weights",
     )
     o["f_measure"] = with_ctes(
@@ -541,8 +542,12 @@ def oracles() -> dict[str, str]:
         "docs_blocks", "pagetext_blocks",
     )
     o["join_fragments"] = with_ctes(
-        f"select idx, {join_sql('p')} as p, {join_sql('li')} as li from pagetext_blocks",
-        "pagetext_blocks",
+        " union all ".join(
+            f"select {idx} as idx, " + ", ".join(f"{join_sql(b)} as {b}" for b in ("p", "li", "code", "pre"))
+            + f" from {source}"
+            for idx, source in (("idx", "docs_blocks"), ("-1 - idx", "pagetext_blocks"))
+        ),
+        "docs_blocks", "pagetext_blocks",
     )
     low_html = lower_sql("html")
     o["unescape_angle"] = f"select page_id, {unescape_sql(low_html)} as html from pages"
@@ -655,4 +660,10 @@ def oracles() -> dict[str, str]:
         "predicted", "known", "q_train",
     )
     o["score_stream"] = o["predict_tags"]
+    o["predict_batches"] = o["predict_tags"]
+    o["prepare_positions"] = with_ctes(
+        """select row_number() over (order by idx) - 1 as position, idx from q_train
+        where idx in (select min(idx) from q_train group by title)""",
+        "q_train",
+    )
     return o

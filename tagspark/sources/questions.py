@@ -25,13 +25,14 @@ def read_questions(spark: SparkSession, path: str, testing: bool = False) -> Dat
     """Scan quoted, multi-line CSV with a header into typed columns without nulls.
 
     One file is one task, because a line end may be part of a field. Deliver
-    large inputs as many files and convert them to parquet once.
+    large inputs as many files and convert them to parquet once. A record with too few or too
+    many fields, or an id that is no number, and a header of other names stop the scan.
     """
     names = TEST_COLUMNS if testing else TRAIN_COLUMNS
     schema = T.StructType(
         [T.StructField(n, T.LongType() if n == "Id" else T.StringType()) for n in names]
     )
-    raw = spark.read.schema(schema).options(multiLine=True, **_DIALECT).csv(path)
+    raw = spark.read.schema(schema).options(multiLine=True, mode="FAILFAST", enforceSchema=False, **_DIALECT).csv(path)
     return raw.select("Id", *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names[1:]])
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,13 @@ def test_unclosed_blocks(spark):
     assert (got["p"], got["li"]) == (["a"], ["c"])
     # Scanned once, not once per tag.
     assert blocks(spark, "<p>x</p>" + "<p>y " * 200_000)["p"] == ["x"]
+    for name in ("p", "li", "pre"):
+        for tail in ("", f"</{name}>"):
+            many = f"<{name} " * 200_000 + tail
+            start = time.perf_counter()
+            assert blocks(spark, f"<{name}>a</{name}>" + many)[name] == ["a"]
+            assert blocks(spark, many)[name] == []
+            assert time.perf_counter() - start < 10
 
 
 @pytest.mark.parametrize(

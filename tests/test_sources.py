@@ -50,10 +50,17 @@ def test_whole_job(spark):
     assert prepared.documents.count() == train.select("title").distinct().count()
     settings = jobs.Settings(iterations=2, score_every=2)
     n = prepared.documents.count()
-    trained = jobs.train(prepared, 0, 4, n * 3 // 4, n // 4, settings)
-    answers = jobs.submission(
-        test, train, prepared.repeated, prepared.text_model, trained.model
-    )
+    positions = [r[0] for r in prepared.documents.select("position").collect()]
+    assert sorted(positions) == list(range(n))
+    rows, held_out = jobs.split_rows(prepared.documents, n * 3 // 4, n + 1 - n * 3 // 4, "position")
+    assert (rows.count(), held_out.count()) == (n * 3 // 4 - 1, n + 1 - n * 3 // 4)
+    size = n + 1 - n * 3 // 4
+    model = jobs.train_all(prepared, 5, 3, n * 3 // 4, size, settings)
+    apart = [jobs.train(prepared, first, k, n * 3 // 4, size, settings).model for first, k in ((0, 3), (3, 2))]
+    weights = {r["feature_id"]: r["w"] for r in model.weights.collect()}
+    first, second = ({r["feature_id"]: r["w"] for r in m.weights.collect()} for m in apart)
+    assert weights == {k: first.get(k, [0.0] * 3) + second.get(k, [0.0] * 2) for k in first | second}
+    answers = jobs.submission(test, train, prepared.repeated, prepared.text_model, model)
     rows = {r["Id"]: r["Tags"] for r in answers.collect()}
     assert len(rows) == test.count()
     known = {r["test_idx"]: r["train_idx"] for r in prepared.repeated.collect()}
