@@ -35,8 +35,11 @@ END = b"\n"
 class Settings:
     # Words that the recurrent model knows one by one.
     known: int = 2000
-    # Words whose counts travel with the tasks: bounded by number.
+    # Words whose counts travel with the tasks: so many at most, each with more than a
+    # `rare_below / shipped` share of the tokens. There are at most `shipped / rare_below` such
+    # words, so no more are sent to the driver at any size.
     shipped: int = 200_000
+    rare_below: float = 0.1
     rounds: int = 3
     hidden: int = 16
     # Words counted in a task before they are handed on.
@@ -52,6 +55,7 @@ class WordCounts:
     tokens: int
     distinct: int
     shipped: list[tuple[bytes, int]]  # commonest first, without the end
+    fewest: float  # words counted more often than this are all shipped
     ends: int
 
 
@@ -82,9 +86,13 @@ def count_words(training: DataFrame, settings: Settings) -> WordCounts:
     totals = table.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     is_end = F.col("word") == F.lit(bytearray(END))
     end = table.filter(is_end).first()
-    common = table.filter(~is_end).orderBy(F.desc("n"), "word").limit(settings.shipped).collect()
+    fewest = (totals["n"] or 0) * settings.rare_below / settings.shipped
+    often = table.filter(~is_end & (F.col("n") > fewest))
+    common = often.orderBy(F.desc("n"), "word").limit(settings.shipped).collect()
     shipped = [(bytes(r["word"]), r["n"]) for r in common]
-    return WordCounts(table, totals["n"] or 0, totals["v"], shipped, end["n"] if end else 0)
+    if len(shipped) == settings.shipped:
+        fewest = shipped[-1][1]
+    return WordCounts(table, totals["n"] or 0, totals["v"], shipped, fewest, end["n"] if end else 0)
 
 
 def encoded(docs: DataFrame, counts: WordCounts, settings: Settings) -> DataFrame:
@@ -220,8 +228,7 @@ def lm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     pairs = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x"))
     pairs = pairs.select("row", F.col("x.rare").alias("hash"), F.col("x.rare_n").alias("n"))
     # Words with fewer tokens than any that travels; each holds a small share of all rows.
-    fewest = counts.shipped[-1][1] if len(counts.shipped) == settings.shipped else 0
-    others = counts.table.filter(F.col("n") <= fewest).select(
+    others = counts.table.filter(F.col("n") <= counts.fewest).select(
         F.xxhash64("word").alias("hash"), F.col("n").alias("c")
     )
     rare = (
