@@ -12,6 +12,7 @@ one chunk per level, wherever it is, and nothing before it is decoded.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -46,9 +47,12 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer_file: str):
+        # A task has one core, so the library's own threads would only wait for it.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
         self.letters = byte_letters()
         # Ids of " " + word (of a line end and the word after LINE); None marks what has to be
         # seen with its neighbours.
@@ -60,10 +64,12 @@ class Encoder:
     def find_spelling(self) -> Callable[[str], str] | None:
         """How the tokenizer's model sees " " + a word of letters, if it is one of two known ways."""
         space = self.letters[32]
-        ways = (
-            lambda w: space + "".join(self.letters[b] for b in w.encode()),
-            lambda w: "".join(self.letters[b] for b in w.lower().encode()),
-        )
+
+        def spelled(w: str) -> str:
+            # ASCII letters are their own letters.
+            return w if w.isascii() else "".join([self.letters[b] for b in w.encode()])
+
+        ways = (lambda w: space + spelled(w), lambda w: spelled(w.lower()))
         probes = ["the", "Éta", "größe", "Streing", "ñaRÇ", "a"]
         wanted = self.ids([" " + w for w in probes])
         for way in ways:
@@ -72,7 +78,7 @@ class Encoder:
         return None
 
     def model_ids(self, spelled: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        ids = [t.id for t in self.model.tokenize(spelled)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, pieces: list[str]) -> list[bytes]:
@@ -87,7 +93,7 @@ class Encoder:
             ids = before.get(word)
             if ids is None:
                 base, mark = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
-                if self.spell and base.isalpha() and max(base) < "\u0100":
+                if self.spell and base.isalpha() and (base.isascii() or max(base) < "\u0100"):
                     ids = words.get(base) or before.get(base) or self.model_ids(self.spell(base))
                     words[base] = ids
                     if mark:
@@ -109,31 +115,38 @@ class Encoder:
             text.replace("\n", " " + LINE).split(" ") if LINE not in text else [text]
             for text in texts
         ]
-        starts = [words[0] for words in split]
-        firsts = self.ids(starts)
-        get, encoded = self.words.get, []
-        for first, words in zip(firsts, split):
-            rest = list(map(get, words[1:]))
-            if None in rest:
-                new = {w for w, ids in zip(words[1:], rest) if ids is None}
-                self.learn(new.difference(self.words))
-                rest = list(map(get, words[1:]))
-            if None in rest:
-                encoded.append(self.around_spaces(words, rest))
-            else:
-                encoded.append(first + b"".join(rest))
+        firsts = self.ids([words.pop(0) for words in split])
+        get = self.words.get
+        found = [list(map(get, words)) for words in split]
+        lacking = [k for k, rest in enumerate(found) if None in rest]
+        # The new words of all texts are encoded in one call.
+        new = {w for k in lacking for w, ids in zip(split[k], found[k]) if ids is None}
+        self.learn(new.difference(self.words))
+        for k in lacking:
+            found[k] = list(map(get, split[k]))
+        encoded = [
+            first + b"".join(rest) if None not in rest else None for first, rest in zip(firsts, found)
+        ]
+        spaced = [k for k, ids in enumerate(encoded) if ids is None]
+        pieces = [self.around_spaces(texts[k], split[k], found[k]) for k in spaced]
+        flat = iter(self.ids([piece for parts in pieces for piece in parts]))
+        for k, parts in zip(spaced, pieces):
+            encoded[k] = b"".join([next(flat) for _ in parts])
         return encoded
 
-    def around_spaces(self, words: list[str], rest: list[bytes | None]) -> bytes:
-        """Ids of a text with runs of white space, none of which is cut."""
-        pieces = [words[0]]
-        for word, ids in zip(words[1:], rest):
-            text = "\n" + word[1:] if word[:1] == LINE else " " + word
+    def around_spaces(self, text: str, words: list[str], rest: list[bytes | None]) -> list[str]:
+        """Pieces of a text with runs of white space, none of which is cut.
+
+        `words` and `rest` are its words after the first, and what is known of them.
+        """
+        pieces = [re.match("[^ \n]*", text)[0] if words else text]
+        for word, ids in zip(words, rest):
+            part = "\n" + word[1:] if word[:1] == LINE else " " + word
             if ids is None or pieces[-1][-1:].isspace():
-                pieces[-1] += text
+                pieces[-1] += part
             else:
-                pieces.append(text)
-        return b"".join(self.ids(pieces))
+                pieces.append(part)
+        return pieces
 
 
 def encoded_rows(
@@ -238,8 +251,25 @@ class TokenFile:
     def token(self, at: int) -> int:
         return int(self.tokens(np.array([at]))[0])
 
+    def span(self, start: int, end: int) -> np.ndarray:
+        """The ids from `start` to before `end`: on every level they are neighbours too."""
+        ids = np.zeros(end - start, np.uint32)
+        which: np.ndarray | slice = slice(None)
+        for level, (chunks, bitmap, ranks) in enumerate(self.levels):
+            if end <= start:
+                break
+            ids[which] |= chunks[start:end].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
+            bits = np.unpackbits(bitmap[start >> 3 : (end + 7) >> 3], bitorder="little")
+            more = np.flatnonzero(bits[start & 7 : (start & 7) + end - start])
+            if not len(more):
+                break
+            which = more if level == 0 else which[more]
+            start = int(rank(bitmap, ranks, np.array([start]))[0])
+            end = start + len(more)
+        return ids
+
     def document(self, k: int) -> np.ndarray:
-        return self.tokens(np.arange(self.ends[k], self.ends[k + 1], dtype=np.int64))
+        return self.span(int(self.ends[k]), int(self.ends[k + 1]))
 
 
 def rank(bitmap: np.ndarray, ranks: np.ndarray, place: np.ndarray) -> np.ndarray:
