@@ -29,7 +29,7 @@ from tagspark.llm.common import worker_memo
 from tagspark.sources.staging import new_path, stage
 
 # Pieces that a worker remembers, twice: those seen since the last turnover, and those before.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 ROWS_AT_ONCE = 256
 # Stands for a line end that starts a piece.
 LINE = "\x00"
@@ -118,14 +118,21 @@ class Encoder:
         firsts = self.ids([words.pop(0) for words in split])
         get = self.words.get
         found = [list(map(get, words)) for words in split]
-        lacking = [k for k, rest in enumerate(found) if None in rest]
-        # The new words of all texts are encoded in one call.
-        new = {w for k in lacking for w, ids in zip(split[k], found[k]) if ids is None}
+        # The new words of all texts are encoded in one call, and only they are looked up again.
+        gaps = [
+            (k, [i for i, ids in enumerate(rest) if ids is None])
+            for k, rest in enumerate(found)
+            if None in rest
+        ]
+        new = {split[k][i] for k, places in gaps for i in places}
         self.learn(new.difference(self.words))
-        for k in lacking:
-            found[k] = list(map(get, split[k]))
+        for k, places in gaps:
+            rest, words = found[k], split[k]
+            for i in places:
+                rest[i] = get(words[i])
+        # Where something is unknown even now, the white space around it has to be seen.
         encoded = [
-            first + b"".join(rest) if None not in rest else None for first, rest in zip(firsts, found)
+            None if None in rest else first + b"".join(rest) for first, rest in zip(firsts, found)
         ]
         spaced = [k for k, ids in enumerate(encoded) if ids is None]
         pieces = [self.around_spaces(texts[k], split[k], found[k]) for k in spaced]
