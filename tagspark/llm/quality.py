@@ -76,22 +76,22 @@ class Settings:
     trust: float = 0.1
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """`(doc_id, n_words, word_chars, ...)`: the statistics the rules look at.
+def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`(<keep>, n_words, word_chars, ...)`: the statistics the rules look at.
 
-    A null text has no words. `n_repeat_words` counts the words that lie in a 3-word window
-    found at least twice; windows are compared by a 64-bit hash of their words.
+    `keep` names columns of `docs` to carry along. A null text has no words. `n_repeat_words`
+    counts the words that lie in a 3-word window found at least twice; windows are compared by a 64-bit hash of their words.
     """
     text = F.coalesce("text", F.lit(""))
     # `words`, `windows` and `runs` are used more than once each, which keeps them computed once.
-    split = docs.select("doc_id", text.alias("text")).withColumn("words", words_of(F.col("text")))
+    split = docs.select(*keep, text.alias("text")).withColumn("words", words_of(F.col("text")))
     windows = F.expr(
         "case when size(words) >= 3 then transform(sequence(0, size(words) - 3),"
         " i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)))"
         " else array() end"
     )
     counted = split.select(
-        "doc_id",
+        *keep,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_replace("text", rf"[^\p{{Lu}}{SYMBOLS}.!?]+", "").alias("marks"),
@@ -177,20 +177,23 @@ def posterior(model: dict) -> Column:
 
 
 def judge_quality(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings = Settings()
+    docs: DataFrame,
+    rules: tuple[Rule, ...] = RULES,
+    settings: Settings = Settings(),
+    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """One row per row of `docs (doc_id, text, ...)`: statistics, votes, `quality`, `kept`.
 
     `base_failed` (too few words, or mostly repeated ones) is never kept; it takes no part in
     the estimation. Null and empty texts have no words and so fail. Repeated rows are judged
     alike, each on its own; a null `doc_id` stays null; an empty table gives no rows. Other
-    columns of `docs` are not looked at.
+    columns of `docs` are not looked at; those that `keep` names are carried along.
     """
     failed = (F.col("n_words") < settings.min_words) | (
         100 * F.col("n_repeat_words") > settings.max_repeat_percent * F.col("n_words")
     )
     judged = stage(
-        text_statistics(docs).withColumn("base_failed", failed).select("*", *[r.vote() for r in rules]),
+        text_statistics(docs, keep).withColumn("base_failed", failed).select("*", *[r.vote() for r in rules]),
         "quality",
     )
     votes = [f"v_{r.name}" for r in rules]
@@ -200,3 +203,12 @@ def judge_quality(
     return judged.withColumn("quality", quality).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= settings.keep_at)
     )
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that the votes keep, with all their columns, each judged on its own.
+
+    The rows travel with their statistics, so that no text is shuffled to meet its verdict.
+    """
+    whole = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    return judge_quality(whole, keep=("_row",)).filter("kept").select("_row.*")
