@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagspark.llm.mixing import apply_mix, mix_sources
 from tagspark.llm.packing import pack_documents
-from tagspark.llm.quality import judge_quality
+from tagspark.llm.quality import keep_good
 from tagspark.llm.queries import WORD_END, WORD_TOKENIZER, vocabulary
 from tagspark.llm.simhash import keep_one, near_duplicates
 from tagspark.llm.templates import dedup_lines
@@ -20,9 +20,8 @@ from tagspark.sources.staging import new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the votes keep; rows of one id stay if any of them is kept."""
-    kept = judge_quality(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """Documents that the votes keep, each row judged on its own."""
+    return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
