@@ -11,6 +11,7 @@ from tagspark.llm.language import fit_text_model, identify_language
 from tagspark.llm.lm import lm_scores
 from tagspark.llm.merkle import merkle_fingerprints
 from tagspark.llm.mixing import mix_sources
+from tagspark.llm.negatives import hard_negatives, quantised
 from tagspark.llm.packing import pack_documents
 from tagspark.llm.quality import judge_quality
 from tagspark.llm.simhash import near_duplicates
@@ -91,9 +92,19 @@ def op10_merkle_trees(spark, sf):
     return merkle_fingerprints(table(spark, sf, "documents"))
 
 
+def op13_hard_negatives(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    # Every seventh row gets another label, so that rows much alike differ in theirs.
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(
+        quantised(vectors.withColumn("label", moved), 256), F.col("vec_id") % 100 == 0
+    )
+
+
 QUERIES = (
     op1_token_files, op2_line_templates, op3_best_fit_packing, op4_mix_sources, op5_url_templates,
     op6_page_language, op7_recurrent_scores, op8_simhash, op9_quality_votes, op10_merkle_trees,
+    op13_hard_negatives,
 )
 
 
