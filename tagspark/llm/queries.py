@@ -15,6 +15,7 @@ from tagspark.llm.negatives import hard_negatives, quantised
 from tagspark.llm.packing import pack_documents
 from tagspark.llm.quality import judge_quality
 from tagspark.llm.simhash import near_duplicates
+from tagspark.llm.spelling import spelling_variants
 from tagspark.llm.templates import dedup_lines
 from tagspark.llm.tokens import crc_of_ids, write_token_files
 from tagspark.llm.urls import UrlRule, judge_urls
@@ -92,6 +93,10 @@ def op10_merkle_trees(spark, sf):
     return merkle_fingerprints(table(spark, sf, "documents"))
 
 
+def op12_spelling_variants(spark, sf):
+    return spelling_variants(table(spark, sf, "documents"))
+
+
 def op13_hard_negatives(spark, sf):
     vectors = table(spark, sf, "embeddings")
     # Every seventh row gets another label, so that rows much alike differ in theirs.
@@ -104,7 +109,7 @@ def op13_hard_negatives(spark, sf):
 QUERIES = (
     op1_token_files, op2_line_templates, op3_best_fit_packing, op4_mix_sources, op5_url_templates,
     op6_page_language, op7_recurrent_scores, op8_simhash, op9_quality_votes, op10_merkle_trees,
-    op13_hard_negatives,
+    op12_spelling_variants, op13_hard_negatives,
 )
 
 
