@@ -12,6 +12,7 @@ from tagspark.llm.lm import lm_scores
 from tagspark.llm.merkle import merkle_fingerprints
 from tagspark.llm.mixing import mix_sources
 from tagspark.llm.negatives import hard_negatives, quantised
+from tagspark.llm.neighbours import near_vectors
 from tagspark.llm.packing import pack_documents
 from tagspark.llm.quality import judge_quality
 from tagspark.llm.simhash import near_duplicates
@@ -93,6 +94,10 @@ def op10_merkle_trees(spark, sf):
     return merkle_fingerprints(table(spark, sf, "documents"))
 
 
+def op11_neighbour_descent(spark, sf):
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
 def op12_spelling_variants(spark, sf):
     return spelling_variants(table(spark, sf, "documents"))
 
@@ -109,7 +114,7 @@ def op13_hard_negatives(spark, sf):
 QUERIES = (
     op1_token_files, op2_line_templates, op3_best_fit_packing, op4_mix_sources, op5_url_templates,
     op6_page_language, op7_recurrent_scores, op8_simhash, op9_quality_votes, op10_merkle_trees,
-    op12_spelling_variants, op13_hard_negatives,
+    op11_neighbour_descent, op12_spelling_variants, op13_hard_negatives,
 )
 
 
