@@ -20,3 +20,12 @@ def grams(tok: Column) -> Column:
         tok, F.slice(tok, F.lit(2), F.size(tok)), lambda a, b: F.concat(a, F.lit(" "), b)
     )
     return F.concat(tok, F.array_compact(pairs))
+
+
+def word_pairs(tok: Column) -> Column:
+    """The distinct pairs `(first, second)` of neighbouring tokens."""
+    pairs = F.zip_with(
+        tok, F.slice(tok, F.lit(2), F.size(tok)),
+        lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("first"), b.alias("second"))),
+    )
+    return F.array_distinct(F.array_compact(pairs))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tagspark.functions.text import grams, tokens
+from tagspark.functions.text import grams, tokens, word_pairs
 from tagspark.operators.joins import lookup, measured_bytes
 from tagspark.operators.ordering import with_row_index
 from tagspark.sources.staging import cut
@@ -77,6 +77,26 @@ def vocabulary(frequencies: DataFrame, n_docs: int, min_df: float = MIN_DF) -> D
     return frequencies.filter(F.col("df") >= F.lit(min_df * n_docs))
 
 
+def frequent_terms(docs: DataFrame, n_docs: int, min_df: float = MIN_DF) -> DataFrame:
+    """`vocabulary` of the documents without counting every pair of words.
+
+    A pair is in no more documents than either of its words, so words are counted first, and only
+    pairs of two kept words are shuffled. The kept words are bounded like the vocabulary; they are
+    broadcast only if measured to be small.
+    """
+    tok = tokens(F.col("text"))
+    words = docs.select(F.explode_outer(F.array_distinct(tok)).alias("term")).filter("term is not null")
+    kept = cut(vocabulary(words.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_docs, min_df))
+    size = measured_bytes(kept)
+    pairs = docs.select(F.explode_outer(word_pairs(tok)).alias("p")).filter("p is not null").select("p.first", "p.second")
+    for side, other in (("first", "second"), ("second", "first")):
+        known = kept.select(F.col("term").alias(side), "df")
+        pairs = lookup(pairs, known.select(side), side, other, size, "left_semi", counts=(known, "df"))
+    both = F.concat("first", F.lit(" "), "second").alias("term")
+    counted = pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("df")).select(both, "df")
+    return kept.unionByName(vocabulary(counted, n_docs, min_df))
+
+
 def idf_of(df: Column, n_docs: int) -> Column:
     """Smoothed inverse document frequency, `ln((1+n)/(1+df)) + 1`."""
     return F.ln(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
@@ -99,7 +119,7 @@ class TfidfModel:
     @classmethod
     def fit(cls, docs: DataFrame, min_df: float = MIN_DF) -> TfidfModel:
         n_docs = docs.count()
-        kept = vocabulary(doc_freq(docs), n_docs, min_df)
+        kept = frequent_terms(docs, n_docs, min_df)
         indexed = with_row_index(kept, "term", name="feature_id")
         return cls(cut(indexed.withColumn("idf", idf_of(F.col("df"), n_docs))), n_docs)
 

@@ -124,13 +124,21 @@ def bin_of(idx: Column, total: int, bins: int) -> Column:
     return F.when(segment * width < total, segment)
 
 
-def top_k_per_group(counts: DataFrame, group: str, k: int, item: str, n: str = "cnt") -> DataFrame:
+def top_k_per_group(
+    counts: DataFrame, group: str, k: int, item: str, n: str = "cnt", splits: int = 64
+) -> DataFrame:
     """The `k` most frequent items of each group, ties by item.
 
-    The limit is applied in every partition before the shuffle, so a group
-    costs `k` rows per partition at most.
+    Items are ranked within hashed splits of their group first, so the items of one group are
+    ordered by many tasks; the second ranking sees `k` rows of each split at most.
     """
-    ranking = Window.partitionBy(group).orderBy(F.desc(n), F.asc(item))
-    return (
-        counts.withColumn("position", F.row_number().over(ranking).cast("long")).filter(F.col("position") <= k)
+    by_rank = (F.desc(n), F.asc(item))
+    split = Window.partitionBy(group, "_split").orderBy(*by_rank)
+    best = (
+        counts.withColumn("_split", F.pmod(F.xxhash64(item), F.lit(splits)).cast("int"))
+        .withColumn("_place", F.row_number().over(split))
+        .filter(F.col("_place") <= k)
+        .drop("_split", "_place")
     )
+    ranking = Window.partitionBy(group).orderBy(*by_rank)
+    return best.withColumn("position", F.row_number().over(ranking).cast("long")).filter(F.col("position") <= k)

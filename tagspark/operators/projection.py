@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.functions.hashing import PRIME, cell_hash, cell_normal
+from tagspark.operators.features import BIAS_ID
 from tagspark.operators.joins import lookup, measured_bytes
 
 # Fixed values.
@@ -20,21 +21,43 @@ def draws(n_features: int) -> int:
     return math.floor(2 * math.sqrt(n_features))
 
 
+def cells_per_feature(n_features: int, k: int) -> int:
+    """Most non-zero cells of a feature: twelve standard deviations above their mean."""
+    mean = k * min(1.0, 2.0 / draws(n_features))
+    return min(k, math.ceil(mean + 12 * math.sqrt(mean) + 12))
+
+
 def projection(
     features: DataFrame, n_features: int, k: int = WIDTH, seed: int = SEED
 ) -> DataFrame:
     """Non-zero cells `(feature_id, dim, sign)` of the matrix for these features.
 
-    A cell depends on its own position only. The dimensions are generated
-    within each feature's row and the zero cells dropped in the same step.
+    The gaps between the non-zero cells of a feature are drawn, geometrically distributed, so a
+    feature costs its non-zero cells and not its width. A gap depends on the feature and on its
+    number there only, a sign on its cell.
     """
-    dims = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("dim")
-    draw = cell_hash(F.col("feature_id") * k + F.col("dim"), seed) % draws(n_features)
-    return (
-        features.select("feature_id", dims)
-        .withColumn("_draw", draw)
-        .filter(F.col("_draw").isin(0, 2))
-        .select("feature_id", "dim", (F.col("_draw") - 1).cast("int").alias("sign"))
+    share = 2.0 / draws(n_features)
+    steps = cells_per_feature(n_features, k)
+
+    def gap(j: Column) -> Column:
+        if share >= 1:
+            return F.lit(1).cast("long")
+        u = (cell_hash(F.col("feature_id") * steps + j, seed) + 1) / F.lit(float(PRIME + 1))
+        return F.floor(F.ln(u) / F.lit(math.log(1 - share))) + 1
+
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))
+    at = F.aggregate(
+        F.transform(numbers, gap),
+        F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("seen")),
+        lambda s, g: F.struct(
+            (s["at"] + g).alias("at"),
+            F.when(s["at"] + g < k, F.concat(s["seen"], F.array(s["at"] + g))).otherwise(s["seen"]).alias("seen"),
+        ),
+        lambda s: s["seen"],
+    )
+    sign = cell_hash(F.col("feature_id") * k + F.col("dim"), seed + 1) % 2 * 2 - 1
+    return features.select("feature_id", F.explode(at).alias("dim")).select(
+        "feature_id", "dim", sign.cast("int").alias("sign")
     )
 
 
@@ -56,19 +79,27 @@ def project(features: DataFrame, cells: DataFrame, idx: str = "idx") -> DataFram
     )
 
 
-def dense_rows(projected: DataFrame, rows: DataFrame, k: int, idx: str = "idx") -> DataFrame:
-    """Every dimension of every row, zeros included."""
-    zeros = rows.select(
-        idx, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("dim"), F.lit(0.0).alias("value")
+def projected_rows(features: DataFrame, cells: DataFrame, k: int, idx: str = "idx") -> DataFrame:
+    """`(idx, values ARRAY<DOUBLE>)`: features times the matrix, one array of width `k` a row.
+
+    `features` have the bias row, which makes every dimension appear. Partitioned by row they stay
+    so: cells are summed and gathered where their row is.
+    """
+    every = F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))
+    zeros = cells.sparkSession.range(1).select(
+        F.lit(BIAS_ID).cast("long").alias("feature_id"), F.explode(every).alias("dim"), F.lit(0).alias("sign")
     )
-    return (
-        projected.select(idx, "dim", "value")
-        .unionByName(zeros)
-        .groupBy(idx, "dim")
-        .agg(F.sum("value").alias("value"))
+    summed = project(features, cells.select("feature_id", "dim", "sign").unionByName(zeros), idx)
+    return summed.groupBy(idx).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_v")).select(
+        idx, F.col("_v.value").alias("values")
     )
 
 
+def corrupt_row(values: Column, level: Column, row: Column, k: int, seed: int) -> Column:
+    """`corrupt` for all values of a row's array."""
+    return F.transform(values, lambda v, d: corrupt(v, level, row, d, k, seed))
+
+
 def noise_level(step: Column, max_steps: int) -> Column:
     """Falls from 1 to 0 over the training, then stays 0."""
     return F.greatest(F.lit(1.0) - step / F.lit(float(max_steps)), F.lit(0.0))

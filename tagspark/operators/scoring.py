@@ -13,6 +13,9 @@ from tagspark.operators.joins import lookup, measured_bytes
 
 # Fixed value: a tag is chosen when its score is above this.
 THRESHOLD = 0.5
+# Tags that are summed together: the generated code of one row stays small enough to be compiled,
+# however many tags there are.
+BLOCK = 8
 
 
 @dataclass
@@ -63,31 +66,54 @@ def label_bits(tags: Column, names: Sequence[str]) -> Column:
     return bits
 
 
-def label_bit(rank: int, labels: str = "labels") -> str:
+def label_bit(rank: int | str, labels: str = "labels") -> str:
     """SQL of the target of one tag: 0.0 or 1.0."""
     return f"cast(shiftright({labels}, {rank}) & 1 as double)"
 
 
+def rank_of(r: int) -> str:
+    """SQL of the rank of a block's tag `r`."""
+    return f"(block * {BLOCK} + {r})"
+
+
+def in_blocks(weights: DataFrame, n_tags: int) -> DataFrame:
+    """`(feature_id, block, w0 .. w7)` from arrays of all tags; beyond the last tag is 0."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(-(-n_tags // BLOCK), 1) - 1))).alias("block")
+    parts = [f"coalesce(get(w, {rank_of(r)}), 0D) as w{r}" for r in range(BLOCK)]
+    return weights.select("feature_id", "w", blocks).selectExpr("feature_id", "block", *parts)
+
+
 def linear_sums(
-    features: DataFrame, weights: DataFrame, n_tags: int, dim_bytes: int, keys: Sequence[str]
+    features: DataFrame, blocks: DataFrame, dim_bytes: int, keys: Sequence[str]
 ) -> DataFrame:
-    """`keys` and `z0..z{n-1}`: the dot product of each row with each tag's weights.
+    """`keys`, `block` and `z0..z7`: the dot product of each row with each tag's weights.
 
-    The join emits one row per feature of a document, not one per tag, and the
-    sums of all tags are taken together. The first key identifies the row.
+    `blocks` are weights as `in_blocks` makes them. The join emits one row per feature of a
+    document and block of tags. The first key identifies the row; where the features are
+    partitioned by it, nothing moves.
     """
-    sums = [F.expr(f"sum(value * get(w, {r})) as z{r}") for r in range(n_tags)]
+    sums = [F.expr(f"sum(value * w{r}) as z{r}") for r in range(BLOCK)]
     rows = features.select(*keys, "feature_id", "value")
-    return lookup(rows, weights, "feature_id", keys[0], dim_bytes).groupBy(*keys).agg(*sums)
+    return lookup(rows, blocks, "feature_id", keys[0], dim_bytes).groupBy(*keys, "block").agg(*sums)
+
+
+def tag_rows(sums: DataFrame, n_tags: int, keys: Sequence[str], value: str = "z") -> DataFrame:
+    """`keys, rank, <value>`: one row per tag of the blocks' columns `z0..z7`."""
+    pairs = ", ".join(f"struct({rank_of(r)} as rank, z{r} as {value})" for r in range(BLOCK))
+    return sums.selectExpr(*keys, f"inline(array({pairs}))").filter(F.col("rank") < n_tags)
 
 
 def score(features: DataFrame, model: LinearModel, keys: Sequence[str] = ("idx",)) -> DataFrame:
     """`keys` and `scores`, an array by rank. Needs features with the bias row, so
     that a document without any known term gets `sigmoid(bias)`."""
     n = len(model.tags)
-    sums = linear_sums(features, model.weights, n, model.size_bytes, keys)
-    scores = ", ".join(f"1D / (1D + exp(-z{r}))" for r in range(n))
-    return sums.selectExpr(*keys, f"array({scores}) as scores")
+    sums = linear_sums(features, in_blocks(model.weights, n), model.size_bytes, keys)
+    scores = ", ".join(f"1D / (1D + exp(-z{r}))" for r in range(BLOCK))
+    parts = sums.selectExpr(*keys, f"struct(block, array({scores}) as scores) as part")
+    ordered = F.array_sort(F.collect_list("part"))
+    return parts.groupBy(*keys).agg(ordered.alias("parts")).select(
+        *keys, F.slice(F.flatten(F.col("parts.scores")), 1, n).alias("scores")
+    )
 
 
 def score_rows(scored: DataFrame, keys: Sequence[str] = ("idx",)) -> DataFrame:
@@ -109,11 +135,17 @@ def predict_tags(
 
 
 def f_measure(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`(rank, soft_f, hard_f)` of rows with `scores` and `labels` bits.
+    """`(rank, soft_f, hard_f)` of rows with `scores` and `labels` bits."""
+    return f_measure_of_rows(
+        scored.select("labels", F.posexplode("scores").alias("rank", "p")), threshold
+    )
+
+
+def f_measure_of_rows(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`(rank, soft_f, hard_f)` of `(labels, rank, p)`, one row per row and tag.
 
-    The pairs of a row and a tag are summed in the partition that makes them.
+    The pairs are summed in the partition that makes them.
     """
-    pairs = scored.select("labels", F.posexplode("scores").alias("rank", "p"))
     y = F.expr("(shiftright(labels, rank) & 1)").cast("double")
     pairs = pairs.select("rank", "p", y.alias("y"), (F.col("p") > threshold).cast("double").alias("h"))
     y, p, h = F.col("y"), F.col("p"), F.col("h")

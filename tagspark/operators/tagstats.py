@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.functions.clean import ascii_lower, clean_title, process_body, tag_detected, words
@@ -84,6 +86,41 @@ def tag_occurrences(df: DataFrame, stats: DataFrame, tags: str = "tags") -> Data
     return tag_ids(df, stats, tags).select("tag_id", "idx")
 
 
+@dataclass
+class OccurrenceIndex:
+    """Stored occurrences `(position, tag_id, idx, part)`, sorted by tag and row.
+
+    A `part` is a folder of `part_rows` positions, so that the parts of a run are known from its
+    offset and the others are not even listed.
+    """
+
+    rows: DataFrame
+    part_rows: int
+
+    def runs(self, stats: DataFrame) -> DataFrame:
+        """`(position, tag_id, idx)` of the tags of `stats (tag_id, offset, cnt, ...)`, a few.
+
+        Their offsets are filters on the files and on the rows in them.
+        """
+        spans = [(r["offset"], r["offset"] + r["cnt"]) for r in stats.select("offset", "cnt").collect()]
+        if not spans:
+            return self.rows.drop("part").limit(0)
+        parts = sorted({p for a, b in spans for p in range(a // self.part_rows, (b - 1) // self.part_rows + 1)})
+        inside = F.lit(False)
+        for a, b in spans:
+            inside = inside | ((F.col("position") >= a) & (F.col("position") < b))
+        return self.rows.filter(F.col("part").isin(parts) & inside).drop("part")
+
+
+def index_occurrences(
+    df: DataFrame, stats: DataFrame, tags: str = "tags", part_rows: int = 1 << 22
+) -> OccurrenceIndex:
+    """Write all occurrences in the order of their offsets."""
+    placed = with_row_index(tag_occurrences(df, stats, tags), "tag_id", "idx", name="position")
+    part = F.expr(f"cast(position div {part_rows} as int) as part")
+    return OccurrenceIndex(stage(placed.select("position", "tag_id", "idx", part), "occurrences", "part"), part_rows)
+
+
 def _top_by_bin(df: DataFrame, items: Column, bins: int, total: int, k: int, name: str):
     segment = bin_of(F.col("idx"), total, bins)
     counts = (

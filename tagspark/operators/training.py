@@ -1,30 +1,41 @@
 """Linear one-vs-rest trainer: all tags of a batch in one distributed job.
 
-The training rows are a long feature table, partitioned by row. An iteration
-
-  1. joins the weights (one array per feature, all tags) and sums per row,
-  2. joins the row results back to the row's features - both sides have the
-     same partitioning, so nothing moves -,
-  3. sums the gradient parts per feature, combined before the only shuffle,
+The training rows are stored once, one row per document with its features in an array, in buckets
+of the row id. An iteration
+
+  1. unfolds the features, joins the weights and sums per row: rows of a bucket stay together,
+  2. takes the outputs, losses and slopes of a row once, and joins them back to the row by a hash
+     table of the bucket, so that the features are neither moved nor sorted,
+  3. unfolds the features again and sums the gradient parts per feature, combined before the only
+     shuffle,
   4. stores the new state, which also cuts the lineage.
 
-Sums over all rows, which the F-measure needs, travel as one more feature.
+Tags are taken in blocks, so the generated code does not grow with their number. Sums over all
+rows, which the F-measure needs, travel as one more feature.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tagspark.functions.hashing import cell_hash
 from tagspark.operators.features import BIAS_ID
 from tagspark.operators.projection import corrupt
-from tagspark.operators.scoring import LinearModel, f_measure, label_bit, linear_sums
-from tagspark.sources.staging import cut, stage
+from tagspark.operators.scoring import (
+    BLOCK, LinearModel, f_measure_of_rows, label_bit, linear_sums, rank_of, tag_rows,
+)
+from tagspark.sources.staging import cut, delete_path, discard, new_path, stage, stage_buckets
 
 # Row totals are collected under this feature id.
 TOTALS_ID = -2
+# Seed of the hash that deals rows over mini-batches.
+BATCH_SEED = 23
+# Columns of the optimizer state, each an array of a block's tags.
+STATE = ("w", "ms", "mom", "best")
 
 
 @dataclass(frozen=True)
@@ -47,65 +58,97 @@ class Trained:
     history: list[tuple[int, list[float]]]
 
 
-def with_totals(features: DataFrame) -> DataFrame:
-    """Add the totals feature to every row that has the bias feature."""
-    ids = F.when(
-        F.col("feature_id") == BIAS_ID,
-        F.array(F.lit(BIAS_ID).cast("long"), F.lit(TOTALS_ID).cast("long")),
-    ).otherwise(F.array("feature_id"))
-    return features.select(
-        *[c for c in features.columns if c != "feature_id"], F.explode(ids).alias("feature_id")
+def batch_of(idx: Column, batches: int) -> Column:
+    """The mini-batch of a row, a function of its id alone."""
+    return (cell_hash(idx, BATCH_SEED) % batches).cast("int")
+
+
+def packed_rows(features: DataFrame) -> DataFrame:
+    """`(idx, labels, features ARRAY<STRUCT<feature_id, value>>)` from one row per feature."""
+    pairs = F.collect_list(F.struct("feature_id", "value"))
+    return features.groupBy("idx", "labels").agg(pairs.alias("features"))
+
+
+def stored_rows(packed: DataFrame, name: str, batches: int | None = None) -> DataFrame:
+    """Packed rows in buckets of `idx`; with `batches`, every part of them is stored apart."""
+    buckets = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if batches is None:
+        return stage_buckets(packed, name, "idx", buckets)
+    parts = packed.withColumn("batch", batch_of(F.col("idx"), batches))
+    return stage_buckets(parts, name, "idx", buckets, "batch")
+
+
+def unfolded(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys, feature_id, value`, one row per feature, partitioned as the rows are."""
+    return rows.select(*keys, F.inline("features"))
+
+
+def row_terms(sums: DataFrame, loss: str) -> DataFrame:
+    """`(idx, block)` and, for each tag of the block, what a row adds to the sums.
+
+    `t{r}` and `u{r}` are added to the totals, `f{r}` and `g{r}` to each feature, times its value.
+    For the F-measure these are `y*p`, `y+p`, `y*q` and `q` with `q = p*(1-p)`; for the squared
+    hinge the loss, the absolute error, the slope and 0.
+    """
+    tags = range(BLOCK)
+    y = [label_bit(f"cast({rank_of(r)} as int)") for r in tags]
+    if loss == "f_measure":
+        outputs = [f"1D / (1D + exp(-z{r})) as p{r}" for r in tags]
+        terms = [
+            (f"y{r} * p{r}", f"y{r} + p{r}", f"y{r} * p{r} * (1D - p{r})", f"p{r} * (1D - p{r})")
+            for r in tags
+        ]
+    else:
+        outputs = [f"greatest(1D - (2D * {y[r]} - 1D) * z{r}, 0D) as p{r}" for r in tags]
+        terms = [
+            (f"p{r} * p{r}", f"abs(z{r} - (2D * y{r} - 1D))", f"-2D * (2D * y{r} - 1D) * p{r}", "0D")
+            for r in tags
+        ]
+    seen = sums.selectExpr("idx", "block", *outputs, *[f"{y[r]} as y{r}" for r in tags], *[f"z{r}" for r in tags])
+    return seen.selectExpr(
+        "idx", "block", *[f"{e} as {c}{r}" for r in tags for c, e in zip("tufg", terms[r])]
     )
 
 
-def gradient_sums(
-    features: DataFrame,
-    weights: DataFrame,
-    n_tags: int,
-    dim_bytes: int,
-    loss: str,
-) -> DataFrame:
-    """`feature_id, a, b, n`: per-tag sums over the rows.
+def gradient_sums(rows: DataFrame, blocks: DataFrame, dim_bytes: int, loss: str) -> DataFrame:
+    """`feature_id, block, a, b, n`: per-tag sums over packed `rows`.
 
-    For the F-measure `a` and `b` are the sums of `value*q*y` and `value*q`
-    with `q = p*(1-p)`, and in the totals row those of `y*p` and `y+p`. For
-    the squared hinge `a` is the gradient, and the totals row holds loss and
-    absolute error. `n` counts the rows.
+    For the F-measure `a` and `b` are the sums of `value*q*y` and `value*q` with `q = p*(1-p)`,
+    and in the totals row those of `y*p` and `y+p`. For the squared hinge `a` is the gradient, and
+    the totals row holds loss and absolute error. `n` counts the rows.
     """
-    tags = range(n_tags)
-    results = linear_sums(features, weights, n_tags, dim_bytes, ["idx", "labels"]).drop("labels")
-    joined = features.select("idx", "labels", "feature_id", "value").join(results, "idx")
-    terms = []
-    for r in tags:
-        y, z = label_bit(r), f"z{r}"
-        if loss == "f_measure":
-            p = f"(1D / (1D + exp(-{z})))"
-            q = f"value * {p} * (1D - {p})"
-            a, b = (f"{y} * {p}", f"{y} * {q}"), (f"{y} + {p}", q)
-        else:
-            t = f"(2D * {y} - 1D)"
-            short = f"greatest(1D - {t} * {z}, 0D)"
-            a = (f"{short} * {short}", f"value * -2D * {t} * {short}")
-            b = (f"abs({z} - {t})", "0D")
-        for name, (in_totals, in_feature) in (("a", a), ("b", b)):
-            terms.append(f"if(feature_id = {TOTALS_ID}, {in_totals}, {in_feature}) as {name}{r}")
-    sums = [f"sum({c}{r}) as {c}{r}" for c in "ab" for r in tags]
+    tags = range(BLOCK)
+    sums = linear_sums(unfolded(rows, ["idx", "labels"]), blocks, dim_bytes, ["idx", "labels"])
+    results = row_terms(sums, loss)
+    total = F.array(F.struct(F.lit(TOTALS_ID).cast("long").alias("feature_id"), F.lit(1.0).alias("value")))
+    joined = rows.select("idx", F.concat("features", total).alias("features")).join(
+        results.hint("shuffle_hash"), "idx"
+    )
+    terms = [f"{c}{r}" for c in "tufg" for r in tags]
+    parts = joined.select("block", *terms, F.inline("features"))
+    is_totals = f"feature_id = {TOTALS_ID}"
+    added = [
+        F.expr(f"sum(if({is_totals}, {whole}{r}, value * {part}{r})) as {name}{r}")
+        for name, whole, part in (("a", "t", "f"), ("b", "u", "g"))
+        for r in tags
+    ]
     arrays = [f"array({', '.join(f'{c}{r}' for r in tags)}) as {c}" for c in "ab"]
     return (
-        joined.selectExpr("feature_id", *terms)
-        .groupBy("feature_id")
-        .agg(*map(F.expr, sums), F.count(F.lit(1)).alias("n"))
-        .selectExpr("feature_id", *arrays, "n")
+        parts.groupBy("feature_id", "block")
+        .agg(*added, F.count(F.lit(1)).alias("n"))
+        .selectExpr("feature_id", "block", *arrays, "n")
     )
 
 
-def with_gradients(state: DataFrame, n_tags: int, settings: Settings) -> DataFrame:
+def with_gradients(state: DataFrame, settings: Settings) -> DataFrame:
     """Replace the sums `a`, `b`, `n` beside the weights by `g`, the gradients.
 
-    `state` must be stored: its totals row is read apart, and dropped here.
+    `state` must be stored: its totals rows are read apart, and dropped here.
     """
     is_totals = F.col("feature_id") == TOTALS_ID
-    total = state.filter(is_totals).select(F.struct("a", "b", "n")).scalar()
+    totals = state.filter(is_totals).select(
+        F.array_sort(F.collect_list(F.struct("block", "a", "b", "n")))
+    ).scalar()
     penalty = f"if(feature_id = {BIAS_ID}, 0D, {2.0 * settings.weight_decay}D / _total.n)"
 
     def slope(r: int) -> str:
@@ -120,8 +163,8 @@ def with_gradients(state: DataFrame, n_tags: int, settings: Settings) -> DataFra
     others = [c for c in state.columns if c not in ("a", "b", "n")]
     return (
         state.filter(~is_totals)
-        .withColumn("_total", total)
-        .selectExpr(*others, f"array({', '.join(map(slope, range(n_tags)))}) as g")
+        .withColumn("_total", F.get(totals, F.col("block")))
+        .selectExpr(*others, f"array({', '.join(map(slope, range(BLOCK)))}) as g")
     )
 
 
@@ -136,27 +179,41 @@ def rmsprop(
 
 
 def initial_state(feature_ids: DataFrame, n_tags: int) -> DataFrame:
-    """All weights 0, for the given features and the bias."""
-    zeros = F.array_repeat(F.lit(0.0), n_tags)
+    """All weights 0, for the given features and the bias, a row per block of tags."""
+    zeros = F.array_repeat(F.lit(0.0), BLOCK)
     bias = feature_ids.sparkSession.range(1).select(F.lit(BIAS_ID).cast("long").alias("feature_id"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(-(-n_tags // BLOCK), 1) - 1))).alias("block")
     return (
         feature_ids.select("feature_id")
         .unionByName(bias)
-        .select("feature_id", *[zeros.alias(c) for c in ("w", "ms", "mom", "best")])
+        .select("feature_id", blocks, *[zeros.alias(c) for c in STATE])
     )
 
 
-def updated(state: DataFrame, n_tags: int, settings: Settings) -> DataFrame:
+def block_columns(weights: DataFrame, column: str = "w") -> DataFrame:
+    """`(feature_id, block, w0 .. w7)` from the arrays of blocks."""
+    return weights.selectExpr("feature_id", "block", *[f"get({column}, {r}) as w{r}" for r in range(BLOCK)])
+
+
+def with_sums(weights: DataFrame, sums: DataFrame) -> DataFrame:
+    """The state: the sums beside the weights. The totals rows have no weights."""
+    empty = F.array_repeat(F.lit(0.0), BLOCK)
+    return weights.join(sums, ["feature_id", "block"], "full").select(
+        "feature_id", "block", *[F.coalesce(c, empty).alias(c) for c in (*STATE, "a", "b")],
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
+
+
+def updated(state: DataFrame, settings: Settings) -> DataFrame:
     """The state after one optimizer step with the sums stored beside it."""
     steps = [
-        rmsprop(settings, *[f"get({c}, {r})" for c in ("w", "ms", "mom", "g")])
-        for r in range(n_tags)
+        rmsprop(settings, *[f"get({c}, {r})" for c in ("w", "ms", "mom", "g")]) for r in range(BLOCK)
     ]
-    arrays = [f"array({', '.join(s[i] for s in steps)}) as {c}" for i, c in enumerate(("w", "ms", "mom"))]
-    return with_gradients(state, n_tags, settings).selectExpr("feature_id", *arrays, "best")
+    arrays = [f"array({', '.join(s[i] for s in steps)}) as {c}" for i, c in enumerate(STATE[:3])]
+    return with_gradients(state, settings).selectExpr("feature_id", "block", *arrays, "best")
 
 
-def train_tags(
+def train_packed(
     train: DataFrame,
     valid: DataFrame,
     feature_ids: DataFrame,
@@ -164,78 +221,148 @@ def train_tags(
     settings: Settings = Settings(),
     batches: int = 1,
     corruption: Callable[[DataFrame, int], DataFrame] | None = None,
+    job: str | None = None,
 ) -> Trained:
     """Train one linear classifier per name, all together.
 
-    `train` and `valid` are `(idx, labels, feature_id, value)` with the bias
-    rows; `feature_ids` are all features. With `batches` > 1 every iteration
-    reads one of that many parts of the rows, stored apart, in turn.
-    `corruption` changes the feature values of an iteration (see
-    `projection.corrupt`). Every `score_every` iterations the tags are scored
-    on `valid`, and each keeps the weights of its best score.
+    `train` and `valid` are `(idx, labels, features)` with the bias among the features;
+    `feature_ids` are all features. With `batches` > 1 every iteration reads one of that many
+    parts of the rows, stored apart, in turn. `corruption` changes the feature values of an
+    iteration (see `dense_noise`). Every `score_every` iterations the tags are scored on `valid`,
+    and each keeps the weights of its best score.
+
+    `job` names a folder for the state of each scored iteration. A training that finds states of
+    its own there goes on after the last one and ends as if it had never stopped; the data and
+    settings must be the same.
     """
     n = len(names)
     spark = train.sparkSession
-    part = F.pmod(F.xxhash64("idx"), F.lit(batches)).cast("int")
-    stored = stage(with_totals(train).withColumn("batch", part), "train", "batch")
-    valid = valid.select("idx", "labels", "feature_id", "value").repartition("idx").persist()
-    whole = stored.drop("batch").repartition("idx").persist() if batches == 1 else None
-
-    # Every state row holds four arrays of n doubles for the lookup's size check.
-    start = cut(initial_state(feature_ids, n))
-    weight_bytes = start.count() * (8 * n + 56)
-    state, weights = start, start
+    stored = stored_rows(train, "train", batches)
+    held_out = stored_rows(valid, "valid")
+    # Every state row holds arrays of a block of doubles for the lookup's size check.
+    start = stage(initial_state(feature_ids, n), "state")
+    weight_bytes = start.count() * (8 * BLOCK + 56)
+    weights, state = start, None
     best = [float("-inf")] * n
     history: list[tuple[int, list[float]]] = []
-    empty = F.array_repeat(F.lit(0.0), n)
-    for i in range(settings.iterations):
-        if i:
-            weights = updated(state, n, settings)
-        if whole is not None:
-            rows = whole
-        else:
-            rows = stored.filter(F.col("batch") == i % batches).drop("batch").repartition("idx")
+    done = 0
+    found = last_state(spark, job) if job else None
+    if found:
+        done, history, state = found
+        best = [max(scores) for scores in zip(*[s for _, s in history])]
+    for i in range(done, settings.iterations):
+        if state is not None:
+            weights = updated(state, settings)
+        rows = stored.filter(F.col("batch") == i % batches).select("idx", "labels", "features")
         if corruption is not None:
             rows = corruption(rows, i)
-        sums = gradient_sums(
-            rows, weights.select("feature_id", "w"), n, weight_bytes, settings.loss
-        )
-        # The totals row has no weights; all other features keep theirs.
-        state = cut(
-            weights.join(sums, "feature_id", "full").select(
-                "feature_id",
-                *[F.coalesce(c, empty).alias(c) for c in ("w", "ms", "mom", "best", "a", "b")],
-                F.coalesce("n", F.lit(0)).alias("n"),
-            )
-        )
+        sums = gradient_sums(rows, block_columns(weights), weight_bytes, settings.loss)
+        before, state = state, stage(with_sums(weights, sums), "state")
+        if before is not None:
+            discard(before)
         if (i + 1) % settings.score_every == 0 or i + 1 == settings.iterations:
-            stepped = cut(updated(state, n, settings))
-            scores = validation_scores(valid, stepped, n, weight_bytes, settings.loss)
+            stepped = stage(updated(state, settings), "stepped")
+            scores = validation_scores(held_out, stepped, n, weight_bytes, settings.loss)
             better = [s > b for s, b in zip(scores, best)]
             best = [max(s, b) for s, b in zip(scores, best)]
             history.append((i + 1, scores))
-            state = keep_best(state, stepped, better)
-    valid.unpersist()
-    if whole is not None:
-        whole.unpersist()
-    weights = state.filter(F.col("feature_id") != TOTALS_ID).select(
-        "feature_id", F.col("best").alias("w")
+            before, state = state, keep_best(state, stepped, better)
+            if state is not before:
+                discard(before)
+            discard(stepped)
+            if job:
+                save_state(state, job, i + 1, history)
+    for table in (stored, held_out):
+        discard(table)
+    model = LinearModel(cut(best_weights(state if state is not None else start, n)), list(names))
+    for table in (start, state):
+        if table is not None and not (job and table is state):
+            discard(table)
+    return Trained(model, history)
+
+
+def train_tags(
+    train: DataFrame,
+    valid: DataFrame,
+    feature_ids: DataFrame,
+    names: Sequence[str],
+    settings: Settings = Settings(),
+    batches: int = 1,
+    job: str | None = None,
+) -> Trained:
+    """`train_packed` on `(idx, labels, feature_id, value)`, one row per feature, with the bias rows."""
+    return train_packed(
+        packed_rows(train), packed_rows(valid), feature_ids, names, settings, batches, job=job
     )
-    return Trained(LinearModel(cut(weights), list(names)), history)
+
+
+def best_weights(state: DataFrame, n_tags: int) -> DataFrame:
+    """`(feature_id, w)`: the kept weights of all tags in one array."""
+    blocks = F.array_sort(F.collect_list(F.struct("block", "best")))
+    return (
+        state.filter(F.col("feature_id") != TOTALS_ID)
+        .groupBy("feature_id").agg(blocks.alias("blocks"))
+        .select("feature_id", F.slice(F.flatten(F.col("blocks.best")), 1, max(n_tags, 1)).alias("w"))
+    )
+
+
+# States of a job.
+
+
+def save_state(state: DataFrame, job: str, iteration: int, history: list) -> None:
+    """Write the state of an iteration, and drop the one before the last.
+
+    The scores are written after the state, so a state without them does not count.
+    """
+    spark = state.sparkSession
+    path = f"{job}/iteration-{iteration:08d}"
+    state.write.mode("overwrite").parquet(f"{path}/state")
+    line = spark.range(1).select(F.lit(json.dumps(history)).alias("history"))
+    line.coalesce(1).write.mode("overwrite").parquet(f"{path}/history")
+    for old in state_iterations(spark, job)[:-2]:
+        delete_path(spark, f"{job}/iteration-{old:08d}")
+
+
+def state_iterations(spark: SparkSession, job: str) -> list[int]:
+    """Iterations with a whole state, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(job)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    whole = [
+        name for name in names
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{job}/{name}/history/_SUCCESS"))
+    ]
+    return sorted(int(name.rpartition("-")[2]) for name in whole)
+
+
+def last_state(spark: SparkSession, job: str) -> tuple[int, list, DataFrame] | None:
+    """Iteration, scores and state of the last whole one."""
+    iterations = state_iterations(spark, job)
+    if not iterations:
+        return None
+    path = f"{job}/iteration-{iterations[-1]:08d}"
+    text = spark.read.parquet(f"{path}/history").first()["history"]
+    history = [(i, scores) for i, scores in json.loads(text)]
+    return iterations[-1], history, spark.read.parquet(f"{path}/state")
 
 
 def dense_noise(k: int, max_steps: int, seed: int) -> Callable[[DataFrame, int], DataFrame]:
     """Corruption for dense rows of width `k`: fresh noise per iteration, of falling
-    level. Bias and totals stay as they are."""
+    level. The bias stays as it is. The array of a row is changed in its place."""
 
     def apply(rows: DataFrame, step: int) -> DataFrame:
         level = max(1.0 - step / max_steps, 0.0)
-        noisy = corrupt(
-            F.col("value"), F.lit(level), F.col("idx"), F.col("feature_id"), k, seed + 2 * step
-        )
-        return rows.withColumn(
-            "value", F.when(F.col("feature_id") >= 0, noisy).otherwise(F.col("value"))
-        )
+
+        def noisy(f: Column) -> Column:
+            value = corrupt(f["value"], F.lit(level), F.col("idx"), f["feature_id"], k, seed + 2 * step)
+            return F.struct(
+                f["feature_id"].alias("feature_id"),
+                F.when(f["feature_id"] >= 0, value).otherwise(f["value"]).alias("value"),
+            )
+
+        return rows.withColumn("features", F.transform("features", noisy))
 
     return apply
 
@@ -244,27 +371,31 @@ def keep_best(state: DataFrame, stepped: DataFrame, better: Sequence[bool]) -> D
     """Write the improved tags' new weights into the `best` column of the state."""
     if not any(better):
         return state
-    picked = ", ".join(f"get({'w' if b else 'best'}, {r})" for r, b in enumerate(better))
-    chosen = stepped.selectExpr("feature_id", f"array({picked}) as _best")
-    return cut(
-        state.join(chosen, "feature_id", "left")
+    flags = f"array({', '.join(str(b).lower() for b in better)})"
+    picked = ", ".join(
+        f"if(coalesce(get({flags}, {rank_of(r)}), false), get(w, {r}), get(best, {r}))" for r in range(BLOCK)
+    )
+    chosen = stepped.selectExpr("feature_id", "block", f"array({picked}) as _best")
+    return stage(
+        state.join(chosen, ["feature_id", "block"], "left")
         .withColumn("best", F.coalesce("_best", "best"))
-        .drop("_best")
+        .drop("_best"),
+        "state",
     )
 
 
 def validation_scores(
     valid: DataFrame, weights: DataFrame, n_tags: int, dim_bytes: int, loss: str
 ) -> list[float]:
-    """One number per tag, higher is better."""
-    sums = linear_sums(
-        valid, weights.select("feature_id", "w"), n_tags, dim_bytes, ["idx", "labels"]
-    )
+    """One number per tag, higher is better; `weights` are arrays of blocks."""
+    keys = ["idx", "labels"]
+    sums = linear_sums(unfolded(valid, keys), block_columns(weights), dim_bytes, keys)
+    pairs = tag_rows(sums, n_tags, ["labels"])
     if loss == "f_measure":
-        scores = ", ".join(f"1D / (1D + exp(-z{r}))" for r in range(n_tags))
-        rows = f_measure(sums.selectExpr("labels", f"array({scores}) as scores")).collect()
-        return [r["soft_f"] for r in sorted(rows, key=lambda r: r["rank"])]
-    losses = [
-        f"avg(pow(greatest(1D - (2D * {label_bit(r)} - 1D) * z{r}, 0D), 2))" for r in range(n_tags)
-    ]
-    return [-v for v in sums.agg(*map(F.expr, losses)).first()]
+        rows = f_measure_of_rows(pairs.selectExpr("labels", "rank", "1D / (1D + exp(-z)) as p"))
+        found = {r["rank"]: r["soft_f"] for r in rows.collect()}
+    else:
+        y = "(2D * cast(shiftright(labels, rank) & 1 as double) - 1D)"
+        losses = pairs.groupBy("rank").agg(F.expr(f"avg(pow(greatest(1D - {y} * z, 0D), 2))").alias("loss"))
+        found = {r["rank"]: -r["loss"] for r in losses.collect()}
+    return [found.get(r, float("-inf")) for r in range(n_tags)]

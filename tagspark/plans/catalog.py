@@ -15,13 +15,13 @@ from tagspark.functions.losses import sigmoid, squared_hinge
 from tagspark.operators import dedup, features as feats, ordering, projection as proj
 from tagspark.operators import scoring, tagstats, training
 from tagspark.operators.features import BIAS_ID, BIAS_TERM, TfidfModel
-from tagspark.operators.joins import measured_bytes
 from tagspark.plans import jobs
 from tagspark.plans.fixtures import odds_weights, q_docs, q_pages, q_test, q_train, table
 from tagspark.plans.settings import (
-    BINS, MIN_DF, N_TAGS, NOISE_BATCH, NOISE_PASSES, PROJECTION_DIMS, SCORED_STEPS, TRAIN_TAGS,
+    ALL_TRAINING, BINS, MARGIN_NOISE_SEED, MARGIN_STEP_RATE, MARGIN_TRAINING, MIN_DF, N_TAGS, NOISE_BATCH,
+    NOISE_PASSES, PROJECTION_DIMS, RUN_RANKS, SCORED_STEPS, TAG_TRAINING, TRAIN_TAGS, WIDE_DIMS,
 )
-from tagspark.sources import models
+from tagspark.sources import models, questions as files
 from tagspark.sources.questions import FIRST_TEST_ID, read_questions, write_questions
 from tagspark.sources.staging import cut, new_path, spread, stage
 from tagspark.streaming.scoring import score_arrivals
@@ -73,7 +73,7 @@ def scored_train(
     """`(idx, labels, feature_id, value)` of the training posts, with both models."""
     docs, text_model = fitted(spark, sf)
     _, names = train_stats(spark, sf)
-    rows = jobs.training_features(docs, text_model, names).persist()
+    rows = stage(jobs.training_features(docs, text_model, names), "training-features")
     return rows, text_model, odds_weights(rows, names)
 
 
@@ -81,12 +81,11 @@ def margins(spark: SparkSession, sf: str) -> tuple[DataFrame, scoring.LinearMode
     """`(idx, rank, output, target)`: linear outputs of all tags before the sigmoid."""
     rows, _, model = scored_train(spark, sf)
     n = len(model.tags)
-    sums = scoring.linear_sums(rows, model.weights, n, model.size_bytes, ["idx", "labels"])
-    pairs = ", ".join(
-        f"struct({r}L as rank, z{r} as output, 2D * {scoring.label_bit(r)} - 1 as target)"
-        for r in range(n)
-    )
-    return sums.selectExpr("idx", f"inline(array({pairs}))"), model
+    blocks = scoring.in_blocks(model.weights, n)
+    sums = scoring.linear_sums(rows, blocks, model.size_bytes, ["idx", "labels"])
+    pairs = scoring.tag_rows(sums, n, ["idx", "labels"], "output")
+    target = F.expr(f"2D * {scoring.label_bit('rank')} - 1").alias("target")
+    return pairs.select("idx", F.col("rank").cast("long").alias("rank"), "output", target), model
 
 
 # Scans, sources, sinks.
@@ -237,6 +236,16 @@ def tag_occurrences(spark, sf):
     return tagstats.tag_occurrences(docs, cut(tagstats.tag_offsets(docs)))
 
 
+@query
+def occurrence_runs(spark, sf):
+    """The runs of some tags, read from the written occurrences by their offsets."""
+    docs = q_docs(spark, sf)
+    stats = cut(tagstats.tag_rank(docs))
+    index = tagstats.index_occurrences(docs, stats, part_rows=max(1, n_rows(spark, sf) // 4))
+    low, high = RUN_RANKS
+    return index.runs(tagstats.top_tags(stats, high - low + 1, low))
+
+
 @query
 def top_words_by_bin(spark, sf):
     return tagstats.top_words_by_bin(clean_questions(q_docs(spark, sf)), BINS, n_rows(spark, sf) + 1)
@@ -317,7 +326,7 @@ def top_tags(spark, sf):
 
 @query
 def vocab_index(spark, sf):
-    docs = clean_questions(q_docs(spark, sf))
+    docs = stage(clean_questions(q_docs(spark, sf)), "documents")
     return TfidfModel.fit(docs, MIN_DF).terms.select("term", "feature_id")
 
 
@@ -446,8 +455,8 @@ def ngrams(spark, sf):
 
 @query
 def vocabulary(spark, sf):
-    docs = clean_questions(q_docs(spark, sf))
-    return feats.vocabulary(feats.doc_freq(docs), n_rows(spark, sf), MIN_DF)
+    docs = stage(clean_questions(q_docs(spark, sf)), "documents")
+    return feats.frequent_terms(docs, n_rows(spark, sf), MIN_DF)
 
 
 @query
@@ -505,24 +514,52 @@ def feature_rows(spark, sf):
     )
 
 
-def train_cells(spark, sf):
+def train_cells(spark, sf, dims=PROJECTION_DIMS):
     docs, model = fitted(spark, sf)
-    cells = proj.projection(model.terms, model.terms.count(), PROJECTION_DIMS)
+    cells = proj.projection(model.terms, model.terms.count(), dims)
     return docs, model, cells
 
 
+def projected_train(spark, sf, dims=PROJECTION_DIMS):
+    """`(idx, values)` of the training posts, an array of all dimensions."""
+    docs, model, cells = train_cells(spark, sf, dims)
+    return proj.projected_rows(model.transform(docs, bias=True), stage(cells, "cells"), dims)
+
+
 @query
 def projection(spark, sf):
     return train_cells(spark, sf)[2]
 
 
+@query
+def projection_wide(spark, sf):
+    """The non-zero cells at the whole width."""
+    return train_cells(spark, sf, WIDE_DIMS)[2]
+
+
 @query
 def project_features(spark, sf):
     docs, model, cells = train_cells(spark, sf)
-    projected = proj.project(model.transform(docs), cut(cells))
+    projected = proj.project(model.transform(docs), stage(cells, "cells"))
     return projected.select("idx", "dim", r6("value").alias("value"))
 
 
+@query
+def project_wide(spark, sf):
+    """What a post's array of the whole width sums up to, in four ways."""
+    rows = projected_train(spark, sf, WIDE_DIMS)
+    zero, v = F.lit(0.0), F.col("values")
+    moment = F.aggregate(F.transform(v, lambda x, d: x * d), zero, lambda s, x: s + x)
+    return rows.select(
+        "idx",
+        F.size(v).cast("long").alias("width"),
+        r6(F.aggregate(v, zero, lambda s, x: s + x)).alias("total"),
+        r6(F.aggregate(v, zero, lambda s, x: s + x * x)).alias("norm"),
+        r6(moment / WIDE_DIMS).alias("moment"),
+        r6(F.array_max(v)).alias("largest"),
+    )
+
+
 @query
 def noise_schedule(spark, sf):
     max_steps = NOISE_PASSES * q_train(spark, sf).count() // NOISE_BATCH
@@ -533,13 +570,9 @@ def noise_schedule(spark, sf):
 
 @query
 def corrupt(spark, sf):
-    docs, model, cells = train_cells(spark, sf)
-    projected = proj.project(model.transform(docs), cut(cells))
-    dense = proj.dense_rows(projected, docs, PROJECTION_DIMS)
-    noisy = proj.corrupt(
-        F.col("value"), F.lit(0.5), F.col("idx"), F.col("dim"), PROJECTION_DIMS, 7
-    )
-    return dense.select("idx", "dim", r6(noisy).alias("value"))
+    noisy = proj.corrupt_row(F.col("values"), F.lit(0.5), F.col("idx"), PROJECTION_DIMS, 7)
+    rows = projected_train(spark, sf).select("idx", F.posexplode(noisy).alias("dim", "value"))
+    return rows.select("idx", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"))
 
 
 # Labels, training, prediction.
@@ -574,93 +607,143 @@ def split_rows(spark, sf):
     )
 
 
-def first_step(spark, sf):
-    """State and gradients after one pass with all weights 0, for the first tags."""
+def with_terms(spark, rows, model):
+    """Add the `term` of each feature; the bias has the empty one."""
+    bias = spark.range(1).select(
+        F.lit(BIAS_ID).cast("long").alias("feature_id"), F.lit(BIAS_TERM).alias("term")
+    )
+    return rows.join(model.terms.select("feature_id", "term").unionByName(bias), "feature_id")
+
+
+def one_step(spark, sf, settings, start_of):
+    """State and gradients after one pass from the weights `start_of(rows, model, names)`, for the
+    first tags, one row per term and tag."""
     docs, model = fitted(spark, sf)
     _, names = train_stats(spark, sf, TRAIN_TAGS)
-    n = len(names)
-    rows = training.with_totals(jobs.training_features(docs, model, names)).repartition("idx").persist()
-    start = cut(training.initial_state(model.terms, n))
-    settings = training.Settings(weight_decay=0.0)
+    long_rows = stage(jobs.training_features(docs, model, names), "training-features")
+    rows = training.stored_rows(training.packed_rows(long_rows), "train")
+    start = stage(start_of(long_rows, model, names), "state")
     sums = training.gradient_sums(
-        rows, start.select("feature_id", "w"), n, measured_bytes(start), settings.loss
+        rows, training.block_columns(start), start.count() * 120, settings.loss
     )
-    state = cut(start.join(sums, "feature_id", "full"))
-    named = model.terms.select("feature_id", "term").unionByName(
-        spark.range(1).select(
-            F.lit(BIAS_ID).cast("long").alias("feature_id"), F.lit(BIAS_TERM).alias("term")
-        )
+    state = stage(training.with_sums(start, sums), "state")
+    pairs = ", ".join(
+        f"struct({scoring.rank_of(r)} as rank, " + ", ".join(f"get({c}, {r}) as {c}" for c in ("w", "ms", "mom", "g")) + ")"
+        for r in range(scoring.BLOCK)
     )
-    return (
-        training.with_gradients(state, n, settings)
-        .select("feature_id", "w", "ms", "mom", F.posexplode("g").alias("rank", "g"))
-        .join(named, "feature_id"),
-        settings,
+    long_form = training.with_gradients(state, settings).selectExpr("feature_id", f"inline(array({pairs}))")
+    return with_terms(spark, long_form.filter(F.col("rank") < len(names)), model).withColumn(
+        "rank", F.col("rank").cast("long")
+    )
+
+
+def first_step(spark, sf):
+    """A step without decay from weights that are all 0."""
+    settings = training.Settings(weight_decay=0.0)
+    rows = one_step(
+        spark, sf, settings, lambda _, model, names: training.initial_state(model.terms, len(names))
     )
+    return rows, settings
 
 
 @query
 def train_step(spark, sf):
     rows, _ = first_step(spark, sf)
-    return rows.select(
-        F.col("rank").cast("long").alias("rank"), "term", r6("g").alias("gradient")
-    )
+    return rows.select("rank", "term", r6("g").alias("gradient"))
 
 
 @query
 def rmsprop_step(spark, sf):
     rows, settings = first_step(spark, sf)
-    old = [f"get({c}, rank)" for c in ("w", "ms", "mom")]
-    w, ms, mom = map(F.expr, training.rmsprop(settings, *old))
-    return rows.select(
-        F.col("rank").cast("long").alias("rank"), "term",
-        r6(w).alias("w"), r6(ms).alias("ms"), r6(mom).alias("mom"),
-    )
+    w, ms, mom = map(F.expr, training.rmsprop(settings))
+    return rows.select("rank", "term", r6(w).alias("w"), r6(ms).alias("ms"), r6(mom).alias("mom"))
+
+
+@query
+def train_step_decay(spark, sf):
+    """The gradient at weights that are not 0, with decay."""
+
+    def start_of(rows, model, names):
+        odds = odds_weights(rows, names)
+        zeros = F.array_repeat(F.lit(0.0), scoring.BLOCK)
+        w = F.array(*[f"w{r}" for r in range(scoring.BLOCK)]).alias("w")
+        return scoring.in_blocks(odds.weights, len(names)).select(
+            "feature_id", "block", w, *[zeros.alias(c) for c in training.STATE[1:]]
+        )
+
+    rows = one_step(spark, sf, training.Settings(), start_of)
+    return rows.select("rank", "term", r6("w").alias("w"), r6("g").alias("gradient"))
+
 
+def _trained_weights(model: scoring.LinearModel) -> DataFrame:
+    return model.long_form().select(F.col("rank").cast("long").alias("rank"), "feature_id", r6("w").alias("w"))
 
-def _trained_weights(trained: training.Trained) -> DataFrame:
-    return trained.model.long_form().select("rank", "feature_id", r6("w").alias("w"))
+
+def split_sizes(n: int) -> tuple[int, int]:
+    """Records for training and for validation: three quarters, and the rest."""
+    return n * 3 // 4, n + 1 - n * 3 // 4
+
+
+def training_settings(numbers: tuple[int, int, int], **more) -> training.Settings:
+    return training.Settings(iterations=numbers[0], score_every=numbers[1], **more)
 
 
 @query
 def train_tags(spark, sf):
     docs, model = fitted(spark, sf)
-    stats, names = train_stats(spark, sf, TRAIN_TAGS)
-    n = docs.count()
-    settings = training.Settings(iterations=10, score_every=5)
+    stats, _ = train_stats(spark, sf, TRAIN_TAGS)
+    prepared = jobs.Prepared(docs, docs, model, stats)
+    trained = jobs.train(
+        prepared, 0, TRAIN_TAGS, *split_sizes(docs.count()), training_settings(TAG_TRAINING), batches=TAG_TRAINING[2]
+    )
+    return _trained_weights(trained.model)
+
+
+@query
+def train_all_tags(spark, sf):
+    """All predicted tags, trained in batches of tags, as one model."""
+    docs, model = fitted(spark, sf)
+    stats, _ = train_stats(spark, sf)
     prepared = jobs.Prepared(docs, docs, model, stats)
     return _trained_weights(
-        jobs.train(prepared, 0, TRAIN_TAGS, n * 3 // 4, n + 1 - n * 3 // 4, settings, batches=2)
+        jobs.train_all(
+            prepared, N_TAGS, jobs.TAGS_PER_BATCH, *split_sizes(docs.count()), training_settings(ALL_TRAINING),
+            job=new_path(spark, "job"),
+        )
     )
 
 
 @query
 def train_margin(spark, sf):
-    """Squared hinge on noisy projected features."""
+    """Squared hinge on noisy projected features, an array per post."""
     docs, model = fitted(spark, sf)
     _, names = train_stats(spark, sf, TRAIN_TAGS)
     k = PROJECTION_DIMS
-    cells = cut(proj.projection(model.terms, model.terms.count(), k))
-    labelled = docs.select("idx", scoring.label_bits(F.col("tags"), names).alias("labels"))
-    dense = proj.dense_rows(proj.project(model.transform(docs), cells), docs, k).select(
-        "idx", F.col("dim").alias("feature_id"), "value"
-    )
-    ones = docs.select("idx", F.lit(BIAS_ID).cast("long").alias("feature_id"), F.lit(1.0).alias("value"))
-    rows = stage(dense.unionByName(ones).join(labelled, "idx"), "dense")
-    n = docs.count()
-    parts = ordering.split_rows(rows, n * 3 // 4, n + 1 - n * 3 // 4)
-    settings = training.Settings(
-        loss="squared_hinge", step_rate=0.001, iterations=6, score_every=3
-    )
-    return _trained_weights(
-        training.train_tags(
-            *parts,
-            spark.range(k).select(F.col("id").alias("feature_id")),
-            names,
-            settings,
-            corruption=training.dense_noise(k, settings.iterations, seed=7),
-        )
+    cells = stage(proj.projection(model.terms, model.terms.count(), k), "cells")
+    labelled = docs.select(
+        "idx", "text", "position", scoring.label_bits(F.col("tags"), names).alias("labels")
+    )
+    keep = ("idx", "labels", "position")
+    features = model.transform(labelled, keep=keep, bias=True)
+    values = proj.projected_rows(features, cells, k)
+    bias = F.array(F.struct(F.lit(BIAS_ID).cast("long").alias("feature_id"), F.lit(1.0).alias("value")))
+    dense = F.transform(
+        "values", lambda v, d: F.struct(d.cast("long").alias("feature_id"), v.alias("value"))
+    )
+    rows = stage(
+        values.join(labelled.drop("text"), "idx").select(*keep, F.concat(dense, bias).alias("features")), "dense"
+    )
+    parts = [p.drop("position") for p in ordering.split_rows(rows, *split_sizes(docs.count()), "position")]
+    settings = training_settings(MARGIN_TRAINING, loss="squared_hinge", step_rate=MARGIN_STEP_RATE)
+    trained = training.train_packed(
+        *parts,
+        spark.range(k).select(F.col("id").alias("feature_id")),
+        names,
+        settings,
+        MARGIN_TRAINING[2],
+        training.dense_noise(k, settings.iterations, MARGIN_NOISE_SEED),
     )
+    return _trained_weights(trained.model)
 
 
 @query
@@ -753,6 +836,37 @@ def submission(spark, sf):
     return jobs.submission(test, train, repeated, text_model, model)
 
 
+@query
+def submission_files(spark, sf):
+    """From question files to the two answer files, read back in their order."""
+    folder = new_path(spark, "files")
+    write_questions(q_train(spark, sf).toDF(*files.TRAIN_COLUMNS), f"{folder}/train")
+    ids = (F.col("test_idx") + FIRST_TEST_ID).alias("Id")
+    test_file = q_test(spark, sf).select(ids, F.col("title").alias("Title"), F.col("body").alias("Body"))
+    write_questions(test_file, f"{folder}/test")
+    train = stage(files.train_posts(read_questions(spark, f"{folder}/train")), "train-posts")
+    test = stage(files.test_posts(read_questions(spark, f"{folder}/test", testing=True)), "test-posts")
+
+    docs = jobs.positioned(clean_questions(train))
+    text_model = TfidfModel.fit(docs, MIN_DF)
+    names = tagstats.tag_names(cut(tagstats.tag_rank(train)), N_TAGS)
+    rows = stage(jobs.training_features(docs, text_model, names), "training-features")
+    model = odds_weights(rows, names)
+    repeated = cut(dedup.match_known(test, train))
+    predicted = stage(jobs.predict(test, repeated, text_model, model), "predicted")
+    files.write_presubmission(predicted, f"{folder}/presubmission")
+    answers = dedup.merge_answers(test, dedup.known_tags(repeated, train), predicted)
+    files.write_submission(answers, f"{folder}/submission")
+
+    alone = files.read_ordered(spark, f"{folder}/presubmission", "Tags string")
+    whole = files.read_ordered(spark, f"{folder}/submission", "Id long, Tags string")
+    return whole.select(F.lit("submission").alias("file"), "position", "Id", "Tags").unionByName(
+        alone.select(
+            F.lit("presubmission").alias("file"), "position", F.lit(None).cast("long").alias("Id"), "Tags"
+        )
+    )
+
+
 @query
 def score_stream(spark, sf):
     """The test posts as a stream of files, scored in micro-batches."""

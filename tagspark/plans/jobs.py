@@ -80,11 +80,13 @@ def train(
     n_valid: int = VALIDATION_ROWS,
     settings: Settings = Settings(),
     batches: int = 1,
+    job: str | None = None,
 ) -> Trained:
     """Train the tags of the ranks `first` to `first + n_tags - 1`.
 
     The classifiers are fitted on the first `n_train` records and validated on the `n_valid`
-    records after them, the header counted as one; labelled rows after these take no part.
+    records after them, the header counted as one; labelled rows after these take no part. `job`
+    is a folder from which a training that was interrupted goes on.
     """
     names = tag_names(prepared.tag_stats, n_tags, first)
     rows, held_out = split_rows(prepared.documents, n_train, n_valid, "position")
@@ -95,6 +97,7 @@ def train(
         names,
         settings,
         batches,
+        job,
     )
 
 
@@ -106,17 +109,22 @@ def train_all(
     n_valid: int = VALIDATION_ROWS,
     settings: Settings = Settings(),
     batches: int = 1,
+    job: str | None = None,
 ) -> LinearModel:
-    """One model of the `n_tags` most frequent tags, trained `batch` tags at a time.
+    """One model of the `n_tags` most frequent tags, or of all if there are fewer, trained
+    `batch` tags at a time.
 
     The weights of the batches are joined per feature; a feature that a batch does not know has
-    weight 0 there.
+    weight 0 there. With a folder `job`, a run that was interrupted skips the batches it had ended
+    and goes on inside the one it had begun.
     """
+    there = len(tag_names(prepared.tag_stats, n_tags))
     models = []
-    for first in range(0, n_tags, batch):
-        size = min(batch, n_tags - first)
-        models.append(train(prepared, first, size, n_train, n_valid, settings, batches).model)
-    return join_models([m for m in models if m.tags])
+    for first in range(0, there, batch):
+        size = min(batch, there - first)
+        folder = f"{job}/tags-{first:05d}" if job else None
+        models.append(train(prepared, first, size, n_train, n_valid, settings, batches, folder).model)
+    return join_models(models)
 
 
 def join_models(models: Sequence[LinearModel]) -> LinearModel:

@@ -7,12 +7,14 @@ position and list functions, with the plain form of every pattern.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from tagspark.functions.clean import DIGIT_WORDS
 from tagspark.functions.hashing import PRIME, coefficients
 from tagspark.plans.fixtures import Q_DOCS
 from tagspark.plans.settings import (
-    BINS, SCORED_STEPS, MIN_DF, N_TAGS, NOISE_PASSES, NOISE_BATCH, PROJECTION_DIMS, TRAIN_TAGS,
+    ALL_TRAINING, BINS, MARGIN_NOISE_SEED, MARGIN_STEP_RATE, MARGIN_TRAINING, MIN_DF, N_TAGS, NOISE_BATCH,
+    NOISE_PASSES, PROJECTION_DIMS, RUN_RANKS, SCORED_STEPS, TAG_TRAINING, TRAIN_TAGS, WIDE_DIMS,
 )
 from tagspark.sources.questions import FIRST_TEST_ID
 
@@ -362,22 +364,145 @@ _cte(
     from first_rows, n_train""",
     "train_x", "first_rows", "positives", "n_train",
 )
-# Projection cells of the training vocabulary.
-_cte(
-    "cells",
-    f"""select feature_id, dim, draw - 1 as sign from (
-        select feature_id, dim, {hash_sql(f'feature_id * {PROJECTION_DIMS} + dim', 15)}
-               % cast(floor(2 * sqrt(d)) as bigint) as draw
-        from train_vocab, (select count(*) as d from train_vocab),
-             (select unnest(range({PROJECTION_DIMS})) as dim))
-    where draw in (0, 2)""",
-    "train_vocab",
-)
+# Projection cells of the training vocabulary: each feature's gaps, added up.
+
+
+def _projection_ctes(cells: str, projected: str, k: int) -> None:
+    mean = f"({k} * 2.0 / draws)"
+    _cte(
+        cells,
+        f"""select feature_id, dim, {hash_sql(f'feature_id * {k} + dim', 16)} % 2 * 2 - 1 as sign from (
+        select feature_id, cast(sum(gap) over (partition by feature_id order by j) as bigint) - 1 as dim from (
+            select feature_id, j, cast(floor(ln(({hash_sql('feature_id * steps + j', 15)} + 1) / {float(PRIME + 1)})
+                / ln(1 - 2.0 / draws::double)) as bigint) + 1 as gap
+            from train_vocab, (
+                select draws, least({k}, cast(ceil({mean} + 12 * sqrt({mean}) + 12) as bigint)) as steps
+                from (select cast(floor(2 * sqrt(count(*))) as bigint) as draws from train_vocab)),
+                (select unnest(range({k})) as j)
+            where j < steps))
+        where dim < {k}""",
+        "train_vocab",
+    )
+    _cte(
+        projected,
+        f"select idx, dim, sum(value * sign) as value from train_x join {cells} using (feature_id) group by all",
+        "train_x", cells,
+    )
+
+
+_projection_ctes("cells", "projected", PROJECTION_DIMS)
+_projection_ctes("wide_cells", "wide_projected", WIDE_DIMS)
+
+# Trainings, iteration by iteration.
+
+
+def _training_ctes(
+    name: str, tags: str, features: str, values: Callable[[int], str], numbers: tuple[int, int, int],
+    loss: str, step_rate: float, needs: tuple[str, ...],
+) -> str:
+    """The SQL `(rank, feature_id, w)` of a training, whose iterations become expressions.
+
+    `features` lists the features but the bias; `values(i)` selects `(idx, feature_id, value)` in
+    iteration i, and -1 gives those that are validated on.
+    """
+    iterations, score_every, batches = numbers
+    decay = 2 * 0.001
+    _cte(
+        f"{name}_rows",
+        f"""select idx, idx <= n * 3 // 4 - 2 as learns, {hash_sql('idx', 23)} % {batches} as batch
+        from (select row_number() over (order by idx) - 1 as idx from q_train), n_train""",
+        "q_train", "n_train",
+    )
+    _cte(
+        f"{name}_y",
+        f"""select r.idx, t.rank, case when p.rank is null then 0.0 else 1.0 end as y from {name}_rows r
+        cross join {tags} t left join positives p on p.idx = r.idx and p.rank = t.rank""",
+        f"{name}_rows", tags, "positives",
+    )
+    _cte(
+        f"{name}_s0",
+        f"""select feature_id, rank, 0.0::double as w, 0.0::double as ms, 0.0::double as mom
+        from (select feature_id from {features} union all select -1) cross join {tags}""",
+        tags, *needs,
+    )
+
+    def outputs(i: int, which: str, weights: str) -> str:
+        x = f"select * from ({values(i)}) union all select idx, -1, 1.0 from {name}_rows"
+        return f"""select idx, rank, any_value(y) as y, sum(value * w) as z from ({x}) x
+            join {name}_rows using (idx) join {weights} using (feature_id) join {name}_y using (idx, rank)
+            where {which} group by idx, rank"""
+
+    for i in range(iterations):
+        before = f"{name}_s{i}"
+        which = f"learns and batch = {i % batches}"
+        if loss == "f_measure":
+            parts, terms = "1.0 / (1.0 + exp(-z)) as p", ("y * p", "y + p", "y * p * (1 - p)", "p * (1 - p)")
+            slope = "2 * hits / (mass * mass) * coalesce(b, 0) - 2 / mass * coalesce(a, 0)"
+        else:
+            parts, terms = "greatest(1 - (2 * y - 1) * z, 0) as p", ("0", "0", "-2 * (2 * y - 1) * p", "0")
+            slope = "coalesce(a, 0) / n"
+        hit, mass, first, second = terms
+        _cte(f"{name}_p{i}", f"select *, {parts} from ({outputs(i, which, before)})", f"{name}_rows", f"{name}_y", before, *needs)
+        _cte(
+            f"{name}_t{i}",
+            f"select rank, sum({hit}) as hits, sum({mass}) as mass, count(*) as n from {name}_p{i} group by rank",
+            f"{name}_p{i}",
+        )
+        _cte(
+            f"{name}_g{i}",
+            f"""select feature_id, rank, sum(value * {first}) as a, sum(value * {second}) as b
+            from (select * from ({values(i)}) union all select idx, -1, 1.0 from {name}_rows)
+            join {name}_p{i} using (idx) group by all""",
+            f"{name}_p{i}", f"{name}_rows", *needs,
+        )
+        _cte(
+            f"{name}_s{i + 1}",
+            f"""select feature_id, rank, w - mom as w, ms, mom from (
+            select feature_id, rank, w, ms, 0.9 * mom + {step_rate} * g / sqrt(ms + 1e-8) as mom from (
+            select feature_id, rank, w, 0.9 * ms + (1.0 - 0.9) * g * g as ms, mom, g from (
+            select s.feature_id, s.rank, w, ms, mom,
+                {slope} + case when s.feature_id = -1 then 0 else {decay} / n * w end as g
+            from {before} s join {name}_t{i} using (rank)
+            left join {name}_g{i} d on d.feature_id = s.feature_id and d.rank = s.rank)))""",
+            before, f"{name}_t{i}", f"{name}_g{i}",
+        )
+    scored = sorted({*range(score_every, iterations + 1, score_every), iterations})
+    for i in scored:
+        if loss == "f_measure":
+            value = "coalesce(2 * sum(y * p) / nullif(sum(y) + sum(p), 0), 0.0)"
+            rows = f"select *, 1.0 / (1.0 + exp(-z)) as p from ({outputs(-1, 'not learns', f'{name}_s{i}')})"
+        else:
+            value, rows = "-avg(pow(greatest(1 - (2 * y - 1) * z, 0), 2))", outputs(-1, "not learns", f"{name}_s{i}")
+        _cte(
+            f"{name}_v{i}", f"select rank, {i} as iteration, {value} as score from ({rows}) group by rank",
+            f"{name}_s{i}", f"{name}_rows", f"{name}_y", *needs,
+        )
+    every_score = " union all ".join(f"select * from {name}_v{i}" for i in scored)
+    best = f"select rank, min_by(iteration, (-score, iteration)) as iteration from ({every_score}) group by rank"
+    states = " union all ".join(f"select {i} as iteration, feature_id, rank, w from {name}_s{i}" for i in scored)
+    return with_ctes(
+        f"""select rank, feature_id, {r6('w')} as w from ({states}) join ({best}) using (rank, iteration)""",
+        *[f"{name}_s{i}" for i in scored], *[f"{name}_v{i}" for i in scored],
+    )
+
+
+def noisy_sql(step: int) -> str:
+    """The projected values of an iteration with its noise; of -1 without."""
+    if step < 0:
+        return "select idx, dim as feature_id, value from dense"
+    level = max(1.0 - step / MARGIN_TRAINING[0], 0.0)
+    cell = f"(idx % {PRIME}) * {PROJECTION_DIMS} + dim"
+    return f"""select idx, dim as feature_id,
+        value + {level} * {normal_noise_sql(cell, MARGIN_NOISE_SEED + 2 * step)} as value from dense"""
+
+
 _cte(
-    "projected",
-    "select idx, dim, sum(value * sign) as value from train_x join cells using (feature_id) group by all",
-    "train_x", "cells",
+    "dense",
+    f"""select idx, dim, coalesce(p.value, 0) as value
+    from (select idx, unnest(range({PROJECTION_DIMS})) as dim from q_train) r left join projected p using (idx, dim)""",
+    "q_train", "projected",
 )
+_cte("dense_ids", f"select unnest(range({PROJECTION_DIMS})) as feature_id")
 
 
 def detected_sql(tag: str, text: str) -> str:
@@ -600,6 +725,16 @@ def oracles() -> dict[str, str]:
     o["project_features"] = with_ctes(
         f"select idx, dim, {r6('value')} as value from projected", "projected"
     )
+    o["projection_wide"] = with_ctes(
+        "select feature_id, dim, cast(sign as integer) as sign from wide_cells", "wide_cells"
+    )
+    o["project_wide"] = with_ctes(
+        f"""select idx, cast({WIDE_DIMS} as bigint) as width, {r6('coalesce(sum(value), 0)')} as total,
+            {r6('coalesce(sum(value * value), 0)')} as norm, {r6(f'coalesce(sum(value * dim), 0) / {WIDE_DIMS}')} as moment,
+            {r6(f'case when count(dim) = {WIDE_DIMS} then max(value) else greatest(coalesce(max(value), 0), 0) end')} as largest
+        from q_train left join wide_projected using (idx) group by idx""",
+        "q_train", "wide_projected",
+    )
     max_steps = f"({NOISE_PASSES} * n // {NOISE_BATCH})"
     o["noise_schedule"] = with_ctes(
         f"""select idx as step, {r6(f'greatest(1.0 - idx / {max_steps}::double, 0.0)')} as level
@@ -633,6 +768,49 @@ def oracles() -> dict[str, str]:
         (select *, 0.01 * g / sqrt(0.1 * g * g + 1e-8) as mom from first_gradient)""",
         "first_gradient",
     )
+    _cte(
+        "decay_p",
+        """select idx, rank, y, score as p, y * score as yp from train_y join few using (rank)""",
+        "train_y", "few",
+    )
+    _cte(
+        "decay_t",
+        "select rank, sum(yp) as hits, sum(y + p) as mass, count(*) as n from decay_p group by rank",
+        "decay_p",
+    )
+    _cte(
+        "decay_g",
+        """select feature_id, rank, sum(value * yp * (1 - p)) as a, sum(value * p * (1 - p)) as b
+        from (select idx, feature_id, value from train_x union all select idx, -1, 1.0 from q_train)
+        join decay_p using (idx) group by all""",
+        "train_x", "q_train", "decay_p",
+    )
+    o["train_step_decay"] = with_ctes(
+        f"""select rank, term, {r6('w')} as w, {r6("""2 * hits / (mass * mass) * b - 2 / mass * a
+            + case when term = '' then 0 else 2 * 0.001 / n * w end""")} as gradient
+        from (select feature_id, term, rank, w from weights join train_vocab using (feature_id) join few using (rank)
+              union all select -1, '', rank, b from bias join few using (rank))
+        join decay_g using (feature_id, rank) join decay_t using (rank)""",
+        "weights", "train_vocab", "bias", "few", "decay_g", "decay_t",
+    )
+    tfidf = "select idx, feature_id, value from train_x"
+    o["train_tags"] = _training_ctes(
+        "few_tags", "few", "train_vocab", lambda i: tfidf, TAG_TRAINING, "f_measure", 0.01, ("train_x", "train_vocab")
+    )
+    o["train_all_tags"] = _training_ctes(
+        "all_tags", "top", "train_vocab", lambda i: tfidf, ALL_TRAINING, "f_measure", 0.01, ("train_x", "train_vocab")
+    )
+    o["train_margin"] = _training_ctes(
+        "margin", "few", "dense_ids", noisy_sql, MARGIN_TRAINING, "squared_hinge", MARGIN_STEP_RATE,
+        ("dense", "dense_ids"),
+    )
+    o["occurrence_runs"] = with_ctes(
+        f"""select position, tag_id, idx from (
+        select row_number() over (order by tag_id, idx) - 1 as position, tag_id, idx
+        from all_rowtags join all_tagids using (tag))
+        where tag_id in (select tag_id from all_tagstats where rank between {RUN_RANKS[0]} and {RUN_RANKS[1]})""",
+        "all_rowtags", "all_tagids", "all_tagstats",
+    )
     o["best_iteration"] = with_ctes(
         f"""select rank, iteration, score from (
         select *, row_number() over (partition by rank order by score desc, iteration) as k from (
@@ -659,6 +837,15 @@ def oracles() -> dict[str, str]:
         from predicted p left join known using (test_idx) left join q_train q on q.idx = train_idx""",
         "predicted", "known", "q_train",
     )
+    o["submission_files"] = with_ctes(
+        f"""select 'submission' as file, row_number() over (order by p.test_idx) - 1 as position,
+            p.test_idx + {FIRST_TEST_ID} as "Id", coalesce(q.tags, p.tags) as "Tags"
+        from predicted p left join known using (test_idx) left join q_train q on q.idx = train_idx
+        union all
+        select 'presubmission', row_number() over (order by test_idx) - 1, null, tags
+        from predicted where test_idx not in (select test_idx from known)""",
+        "predicted", "known", "q_train",
+    )
     o["score_stream"] = o["predict_tags"]
     o["predict_batches"] = o["predict_tags"]
     o["prepare_positions"] = with_ctes(

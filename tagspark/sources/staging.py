@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,10 @@ SPREAD_BYTES_PER_CORE = 128 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session (`spark.checkpoint.dir`)."""
+    """The checkpoint folder of the session (`spark.checkpoint.dir`).
+
+    Only a local master may do without the setting; its folder goes when the driver ends.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
@@ -20,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             configured = tempfile.mkdtemp(prefix="tagspark-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
@@ -39,7 +45,40 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     path = new_path(df.sparkSession, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.staged_path = path
+    return stored
+
+
+def stage_buckets(
+    df: DataFrame, name: str, key: str, buckets: int, partition_by: str | None = None
+) -> DataFrame:
+    """Write `df` into buckets of `key`, one file each, so that grouping and joining the written
+    table by `key` moves no row. `partition_by` names a column of few values, stored apart."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, F.col(key)).write.format("parquet").option("path", path)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    stored = spark.table(table)
+    stored.staged_path, stored.staged_table = path, table
+    return stored
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table of `stage` or `stage_buckets` that nothing reads any more."""
+    spark = stored.sparkSession
+    if getattr(stored, "staged_table", None):
+        spark.sql(f"drop table if exists {stored.staged_table}")
+    if getattr(stored, "staged_path", None):
+        delete_path(spark, stored.staged_path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
