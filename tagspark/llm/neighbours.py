@@ -79,23 +79,18 @@ def copy_keys() -> tuple[Column, Column]:
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
-    """`(node, space, a, b, first, n, unit)`: equal vectors of a label made one, stored.
+    """`(node, space, a, b, first, n, x)`: equal vectors of a label made one, stored.
 
     Only vectors of one `space`, that is of one label and length, are compared.
     """
-    largest = F.array_max(F.transform("x", F.abs))
-    scaled = F.transform("x", lambda v: v / F.col("_largest"))
-    norm = F.sqrt(F.aggregate("_scaled", F.lit(0.0), lambda s, v: s + v * v))
     return stage(
         rows.select("vec_id", "x", *copy_keys(), F.xxhash64("label", F.size("x")).alias("space"))
         .groupBy("a", "b")
-        .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("space").alias("space"), F.first("x").alias("x"))
-        .withColumn("_largest", largest)
-        .withColumn("_scaled", scaled)
-        .withColumn("_norm", norm)
+        .agg(
+            F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("space").alias("space"), F.first("x").alias("x"),
+        )
         .select(
-            F.monotonically_increasing_id().alias("node"), "space", "a", "b", "first", "n",
-            F.transform("_scaled", lambda v: v / F.col("_norm")).alias("unit"),
+            F.monotonically_increasing_id().alias("node"), "space", "a", "b", "first", "n", "x"
         ),
         "vectors",
     )
@@ -127,22 +122,31 @@ def sign_codes(x: np.ndarray, bits: int, seed: list[int]) -> np.ndarray:
 
 
 def with_codes(vectors: DataFrame, lengths: list[int], seed: int) -> DataFrame:
-    """Add `probe`, and `codes`, one of each of the lengths, stored."""
+    """Replace `x` by the `unit` vector, its `probe` and its `codes`, one of each of the lengths,
+    stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = matrix(batch.column("unit"))
-            sizes = batch.column("unit").value_lengths().to_pylist()
-            half = [row[:n].astype("<f2").tobytes() for row, n in zip(unit, sizes)]
-            codes = np.array([sign_codes(unit, bits, [seed, 1, bits]) for bits in lengths]).T
+            x = matrix(batch.column("x"))
+            # Scaled first, so that squares neither overflow nor vanish.
+            x /= np.abs(x).max(1, initial=1e-300, keepdims=True)
+            x /= np.sqrt((x * x).sum(1, keepdims=True))
+            sizes = batch.column("x").value_lengths().to_pylist()
+            units = pa.array([row[:n] for row, n in zip(x, sizes)], pa.list_(pa.float64()))
+            half = [row[:n].astype("<f2").tobytes() for row, n in zip(x, sizes)]
+            codes = np.array([sign_codes(x, bits, [seed, 1, bits]) for bits in lengths]).T
+            kept = [name for name in batch.schema.names if name != "x"]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(half, pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))],
-                names=[*batch.schema.names, "probe", "codes"],
+                [*[batch.column(name) for name in kept], units, pa.array(half, pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))],
+                names=[*kept, "unit", "probe", "codes"],
             )
 
-    added = [T.StructField("probe", T.BinaryType()), T.StructField("codes", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*vectors.schema.fields, *added])
-    return stage(vectors.mapInArrow(run, schema), "coded-vectors")
+    kept = [f for f in vectors.schema.fields if f.name != "x"]
+    doubles = T.ArrayType(T.DoubleType())
+    added = [
+        T.StructField("unit", doubles), T.StructField("probe", T.BinaryType()), T.StructField("codes", T.ArrayType(T.LongType()))
+    ]
+    return stage(vectors.mapInArrow(run, T.StructType([*kept, *added])), "coded-vectors")
 
 
 def cover(vectors: DataFrame, n_codes: int, radius: float) -> DataFrame:
