@@ -127,13 +127,26 @@ def test_hash_is_the_stated_polynomial(spark):
         assert got == (((((a * x + b) % PRIME) * x + c) % PRIME) * x + d) % PRIME
 
 
-def test_projection_density_and_noise(spark):
-    n, k = 2500, 40
+@pytest.mark.parametrize("n, k", [(2500, 40), (400, 4000), (1, 5), (3, 7)])
+def test_projection_density(spark, n, k):
     cells = projection.projection(spark.range(n).withColumnRenamed("id", "feature_id"), n, k)
-    counts = {r["sign"]: r["n"] for r in cells.groupBy("sign").agg(F.count("dim").alias("n")).collect()}
+    rows = cells.collect()
+    assert len({(r["feature_id"], r["dim"]) for r in rows}) == len(rows)
+    assert all(0 <= r["dim"] < k and 0 <= r["feature_id"] < n for r in rows)
+    cells_of = lambda sign: sum(r["sign"] == sign for r in rows)
     expected = n * k / projection.draws(n)
-    assert set(counts) == {-1, 1}
-    assert all(abs(v - expected) < 5 * expected**0.5 for v in counts.values())
+    assert cells_of(1) + cells_of(-1) == len(rows)
+    assert all(abs(cells_of(s) - expected) < 5 * expected**0.5 + 1 for s in (-1, 1))
+    if n > 100:
+        # Dimensions are hit alike, and a feature's number of cells is spread as it should be.
+        hits = np.bincount([r["dim"] for r in rows], minlength=k)
+        first, last = hits[: k // 2].sum(), hits[k // 2 :].sum()
+        assert abs(first - last) < 5 * len(rows) ** 0.5
+        per_feature = np.bincount([r["feature_id"] for r in rows], minlength=n)
+        assert 0.7 < per_feature.var() / (per_feature.mean() * (1 - per_feature.mean() / k)) < 1.4
+
+
+def test_noise(spark):
     noise = spark.range(20000).select(cell_normal(F.col("id"), 3).alias("z"))
     mean, dev = noise.agg(F.avg("z"), F.stddev("z")).first()
     assert abs(mean) < 0.05 and abs(dev - 1) < 0.05

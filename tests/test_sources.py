@@ -6,7 +6,10 @@ from conftest import SF
 from tagspark.plans import catalog, jobs
 from tagspark.plans.fixtures import q_test, q_train
 from tagspark.sources.models import save_table
-from tagspark.sources.questions import read_questions, write_questions, write_submission
+from tagspark.sources.questions import (
+    read_ordered, read_questions, write_presubmission, write_questions, write_submission,
+)
+from tagspark.sources.staging import discard, stage, stage_buckets
 
 NASTY = [
     (1, 'quote " and ""', "line\nbreak\r\nand \\ backslash", "a b"),
@@ -40,6 +43,33 @@ def test_submission_is_ordered(spark, tmp_path):
     assert [int(line.split(",")[0].strip('"')) for line in lines] == list(range(1000))
 
 
+def test_predictions_are_writable(spark, tmp_path):
+    tags = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit('a "b"\n'), F.col("id").cast("string")))
+    predicted = spark.range(500).select((499 - F.col("id")).alias("test_idx"), tags.alias("tags")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write_submission(predicted, str(tmp_path / "submission"))
+    write_presubmission(predicted, str(tmp_path / "presubmission"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [r["tags"] for r in predicted.orderBy("test_idx").collect()]
+    whole = read_ordered(spark, str(tmp_path / "submission"), "Id long, Tags string").orderBy("position").collect()
+    assert [tuple(r) for r in whole] == [(6034196 + k, t, k) for k, t in enumerate(want)]
+    alone = read_ordered(spark, str(tmp_path / "presubmission"), "Tags string").orderBy("position").collect()
+    assert [tuple(r) for r in alone] == [(t, k) for k, t in enumerate(want)]
+    assert len(list((tmp_path / "presubmission").glob("part-*"))) > 1
+
+
+def test_staged_tables_can_be_deleted(spark):
+    import os
+
+    rows = spark.range(100).select("id", (F.col("id") % 3).cast("int").alias("part"))
+    for stored in (stage(rows, "t"), stage_buckets(rows, "t", "id", 4), stage_buckets(rows, "t", "id", 4, "part")):
+        assert stored.count() == 100
+        path = stored.staged_path.removeprefix("file:")
+        assert os.path.isdir(path)
+        discard(stored)
+        assert not os.path.exists(path)
+
+
 def test_save_table(spark, tmp_path):
     assert save_table(spark.range(5), str(tmp_path / "t")).count() == 5
 
