@@ -24,16 +24,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_WORDS), "")
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """`(doc_id, text)`; rows of one id become one, with the greatest text.
+def document_key(docs: DataFrame) -> Column:
+    """What names a document of `docs (doc_id, text, ...)`, with an order.
 
-    If every id is there once, which a count of the ids alone tells, no text is moved.
+    That is its id, or, if rows share ids, which a count of the ids alone tells, its id and a hash
+    of its text: only rows alike in both have one key.
     """
-    narrow = docs.select("doc_id", "text")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.first() is None:
-        return narrow
-    return narrow.groupBy("doc_id").agg(F.max("text").alias("text"))
+        return F.col("doc_id")
+    return F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
 
 
 def small_stage(df: DataFrame, name: str) -> DataFrame:

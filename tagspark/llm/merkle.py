@@ -2,26 +2,27 @@
 
 A paragraph is a line. It is cut into phrases after words chosen by their own hash, so an
 insertion moves no cut but those beside it; paragraphs are gathered into sections in the same
-way. Every node's hash comes from the hashes below it. Equal roots mean equal texts; unequal
-ones are compared branch by branch, and the phrases below the differing branches locate the
-edit.
+way. A phrase is named by its SHA-256, and every node above by the SHA-256 of the whole names
+below it. So equal roots mean equal texts; unequal ones are compared branch by branch, and the
+phrases below the differing branches locate the edit.
 
-A fingerprint is the written tree: `root:section(paragraph[phrase,phrase]paragraph[..])..` with
-64, 16, 16 and 8 hex digits.
+A fingerprint is the written tree: `root:section(paragraph[phrase,phrase]paragraph[..])..`. The
+root is written whole, the names below it with their first 16 digits.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tagspark.llm.common import one_row_per_id
+from tagspark.llm.common import document_key
 from tagspark.operators.ordering import with_row_index
 from tagspark.sources.staging import stage
 
-# Written between phrases while a paragraph is cut.
-CUT = "\x01"
+# Written between phrases while a paragraph is cut. A text's own ESCAPE is written twice as long
+# before, so that none of its characters is taken for a cut.
+ESCAPE, ESCAPED, CUT = "\x01", "\x01\x02", "\x01\x03"
 
 
 @dataclass(frozen=True)
@@ -32,35 +33,51 @@ class Shape:
 
 
 def tree(df: DataFrame, text: str, name: str, shape: Shape = Shape()) -> DataFrame:
-    """Add `<name>` (the written tree) and `<name>_leaves` (its phrase hashes, as a set).
+    """Add `<name>` (the written tree) and `<name>_leaves` (hashes of its phrases, as a set).
 
     A null text counts as empty. Each step is a column that is used more than once, so that it
     is computed once a row.
     """
+    escaped = f"replace(coalesce({text}, ''), '{ESCAPE}', '{ESCAPED}')"
     cut = (
-        f"transform(split(coalesce({text}, ''), '\\n'), p -> split(array_join(transform(split(p, ' '),"
+        f"transform(split({escaped}, '\\n'), p -> split(array_join(transform(split(p, ' '),"
         f" w -> if(xxhash64(w) % {shape.phrase_words} = 0, concat(w, '{CUT}'), w)), ' '), '{CUT}'))"
     )
-    leaf = "xxhash64(phrase) & 4294967295L"
-    hashed = df.withColumn("_leaves", F.expr(f"transform({cut}, p -> transform(p, phrase -> {leaf}))"))
-    paragraph = (
-        "concat(lower(lpad(hex(xxhash64(p)), 16, '0')), '[', array_join(transform(p,"
-        " leaf -> lower(lpad(hex(leaf), 8, '0'))), ','), ']')"
-    )
-    sections = (
-        f"split(array_join(transform(_leaves, p -> if(xxhash64(p) % {shape.section_paragraphs} = 0,"
-        f" concat({paragraph}, '{CUT}'), {paragraph})), ''), '{CUT}')"
+    hashed = df.withColumn("_leaves", F.expr(f"transform({cut}, p -> transform(p, phrase -> sha2(phrase, 256)))"))
+    written = "concat(left(h, 16), '[', array_join(transform(p, leaf -> left(leaf, 16)), ','), ']')"
+    hashed = (
+        hashed.withColumn(f"{name}_leaves", F.expr("array_distinct(transform(flatten(_leaves), x -> xxhash64(x)))"))
+        .withColumn("_names", F.expr("transform(_leaves, p -> sha2(array_join(p, ','), 256))"))
+        .withColumn("_paragraphs", F.expr(f"zip_with(_names, _leaves, (h, p) -> {written})"))
+        .withColumn(
+            "_ends",
+            F.expr(
+                "filter(sequence(0, size(_names) - 1), i -> i = size(_names) - 1"
+                f" or xxhash64(get(_names, i)) % {shape.section_paragraphs} = 0)"
+            ),
+        )
+        .drop("_leaves")
     )
+
+    def in_section(array: str, by: str) -> str:
+        start = "coalesce(get(_ends, j - 1) + 1, 0)"
+        return f"array_join(slice({array}, {start} + 1, e + 1 - {start}), '{by}')"
+
     hashed = hashed.withColumn(
-        f"{name}_leaves", F.expr("array_distinct(flatten(_leaves))")
-    ).withColumn("_sections", F.expr(sections)).drop("_leaves")
-    written = (
-        "transform(filter(_sections, s -> s != ''),"
-        " s -> concat(lower(lpad(hex(xxhash64(s)), 16, '0')), '(', s, ')'))"
+        "_sections", F.expr(f"transform(_ends, (e, j) -> sha2({in_section('_names', ',')}, 256))")
+    ).withColumn("_inside", F.expr(f"transform(_ends, (e, j) -> {in_section('_paragraphs', '')})"))
+    root = F.sha2(
+        F.concat(
+            F.octet_length(F.coalesce(text, F.lit(""))).cast("string"), F.lit(":"), F.array_join("_sections", ",")
+        ),
+        256,
+    )
+    body = F.array_join(
+        F.zip_with("_sections", "_inside", lambda h, inside: F.concat(F.left(h, F.lit(16)), F.lit("("), inside, F.lit(")"))), ""
+    )
+    return hashed.withColumn(name, F.concat(root, F.lit(":"), body)).drop(
+        "_names", "_paragraphs", "_ends", "_sections", "_inside"
     )
-    hashed = hashed.withColumn("_written", F.expr(f"array_join({written}, '')")).drop("_sections")
-    root = F.sha2(F.concat(F.octet_length(F.coalesce(text, F.lit(""))).cast("string"), F.lit(":"), "_written"), 256)
-    return hashed.withColumn(name, F.concat(root, F.lit(":"), F.col("_written"))).drop("_written")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -77,7 +94,7 @@ def branches(fingerprint: str, level: str) -> Column:
     """Hashes of a level ('root', 'section', 'paragraph' or 'phrase') of a written tree."""
     pattern = {
         "root": "^([0-9a-f]{64}):", "section": r"([0-9a-f]{16})\(",
-        "paragraph": r"([0-9a-f]{16})\[", "phrase": r"([0-9a-f]{8})(?=[,\]])",
+        "paragraph": r"([0-9a-f]{16})\[", "phrase": r"([0-9a-f]{16})(?=[,\]])",
     }[level]
     return F.regexp_extract_all(F.col(fingerprint), F.lit(pattern), F.lit(1))
 
@@ -90,52 +107,57 @@ def differing(a: str, b: str, level: str) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """`(doc_id, n_chars, next_id)` in descending order of ids; after the last comes the first.
+    """`(doc, n_chars, next_doc)` of `docs (doc, doc_id, text)`, in descending order of ids; after
+    the last comes the first.
 
     A null id is the last of the order. Only ids and lengths move.
     """
-    lengths = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
-    order = F.coalesce("doc_id", F.lit(-(2**63)))
-    placed = with_row_index(
-        stage(lengths.withColumn("_order", order), "lengths"), F.col("_order").desc(), name="_place"
-    )
+    lengths = docs.select(
+        "doc", F.coalesce("doc_id", F.lit(-(2**63))).alias("_order"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+    ).distinct()
+    placed = with_row_index(stage(lengths, "lengths"), F.col("_order").desc(), "doc", name="_place")
     placed = stage(placed, "places")
     n = placed.count()
-    after = placed.select(F.col("doc_id").alias("next_id"), F.pmod(F.col("_place") - 1, F.lit(max(n, 1))).alias("_place"))
-    return placed.join(after, "_place").select("doc_id", "n_chars", "next_id")
+    after = placed.select(F.col("doc").alias("next_doc"), F.pmod(F.col("_place") - 1, F.lit(max(n, 1))).alias("_place"))
+    return placed.join(after, "_place").select("doc", "n_chars", "next_doc")
 
 
 def merkle_fingerprints(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """Trees of every document and of its edited text, and how alike they are.
 
     `(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)`,
-    one row per `doc_id`. The edited text has its last third replaced by the beginning of the
-    next document, in descending order of ids. Null texts count as empty; rows of one id are
-    one document, whose text is the greatest; rows without an id are one document, the last in
-    order; an empty table gives an empty one.
+    one row per row of `docs (doc_id, text, ...)`. The edited text has its last third replaced by
+    the beginning of the next document, in descending order of ids. Null texts count as empty.
+    Rows that share an id are documents of their own, ordered by a hash of their texts; rows alike
+    in id and text are one document in the order, and each is returned. Rows without an id come
+    last. An empty table gives an empty one.
 
     Each document sends its beginning and its set of phrases to the document before it; whole
     texts move once.
     """
-    whole = one_row_per_id(docs)
-    order = next_documents(whole)
-    order = stage(order, "order")
-    own = whole.join(order.select(F.col("doc_id").alias("_id"), "n_chars"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    own = tree(own.select("doc_id", "text", "n_chars"), "text", "fingerprint", shape)
-    sent = order.select(F.col("doc_id").alias("to_id"), F.col("n_chars").alias("to_chars"), F.col("next_id"))
+    # A key that is never null, so that it can be joined on.
+    key = F.struct(document_key(docs).alias("key"))
+    whole = docs.select(key.alias("doc"), "doc_id", "text")
+    order = stage(next_documents(whole), "order")
+    own = tree(whole.join(order.select("doc", "n_chars"), "doc"), "text", "fingerprint", shape)
+    sent = order.select(F.col("doc").alias("to_doc"), F.col("n_chars").alias("to_chars"), F.col("next_doc").alias("doc"))
+    # Of rows that are alike one sends.
     beginnings = (
-        own.join(sent, F.col("doc_id").eqNullSafe(F.col("next_id")))
-        .select(
-            "to_id",
-            F.expr("left(coalesce(text, ''), cast(to_chars div 3 as int))").alias("beginning"),
-            F.substring("fingerprint", 1, 64).alias("next"),
-            F.col("fingerprint_leaves").alias("next_leaves"),
-        )
+        own.select("doc", "text", "fingerprint", "fingerprint_leaves").dropDuplicates(["doc"])
+        if isinstance(whole.schema["doc"].dataType["key"].dataType, T.StructType)
+        else own
+    )
+    beginnings = beginnings.join(sent, "doc").select(
+        "to_doc",
+        F.expr("left(coalesce(text, ''), cast(to_chars div 3 as int))").alias("beginning"),
+        F.substring("fingerprint", 1, 64).alias("next"),
+        F.col("fingerprint_leaves").alias("next_leaves"),
     )
     edited_text = F.expr(
         "concat(left(coalesce(text, ''), cast(n_chars - n_chars div 3 as int)), beginning)"
     )
-    met = own.join(beginnings, F.col("doc_id").eqNullSafe(F.col("to_id"))).withColumn("edited", edited_text)
+    met = own.join(beginnings, F.col("doc") == F.col("to_doc")).withColumn("edited", edited_text)
     edited = tree(met, "edited", "edited_fingerprint", shape)
     return edited.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tagspark.llm.simhash import components
-from tagspark.operators.joins import split_lookup
+from tagspark.operators.joins import HOT_SHARE, split_lookup
 from tagspark.sources.staging import stage
 
 # Probes have half precision: an inner product of two is off by less than this.
@@ -439,7 +439,9 @@ def linked(members: DataFrame, balls: DataFrame, graph: DataFrame, threshold: fl
     )
     asked = met.filter("partly").select("node", "ball", "other", "unit")
     inside = members.select(F.col("ball").alias("other"), F.col("unit").alias("member"), "n")
-    close = split_lookup(asked, inside, "other", "node").filter(inner("unit", "member") >= threshold)
+    # A thousand vectors that ask for a ball's members are no reason to split it yet.
+    share = min(1.0, max(HOT_SHARE, 1000 / max(1, asked.count())))
+    close = split_lookup(asked, inside, "other", "node", share=share).filter(inner("unit", "member") >= threshold)
     found = stage(
         met.filter("whole").select("node", "ball", "other", F.col("total").alias("links")).unionByName(
             close.groupBy("node", "ball", "other").agg(F.sum("n").alias("links"))
