@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tagspark.llm.mixing import apply_mix, mix_sources
 from tagspark.llm.packing import pack_documents
 from tagspark.llm.quality import keep_good
 from tagspark.llm.queries import WORD_END, WORD_TOKENIZER, vocabulary
 from tagspark.llm.simhash import keep_one, near_duplicates
-from tagspark.llm.templates import dedup_lines
+from tagspark.llm.templates import drop_repeated_lines
 from tagspark.sources.staging import new_path
 
 
@@ -26,15 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that has no text left goes."""
-    lines = dedup_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "n_dropped")
-    changed = F.col("n_dropped") > 0
-    joined = docs.join(lines, docs["doc_id"].eqNullSafe(lines["_id"])).filter(
-        ~changed | (F.trim(F.regexp_replace("_text", r"\s+", " ")) != "")
-    )
-    new = {"text": F.when(changed, F.col("_text")).otherwise(docs["text"])}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("_text").cast("long")).otherwise(docs["n_chars"])
-    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+    return drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
