@@ -12,10 +12,13 @@ one chunk per level, wherever it is, and nothing before it is decoded.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -78,8 +81,10 @@ class Encoder:
         return None
 
     def model_ids(self, spelled: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(spelled)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ids(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -89,15 +94,19 @@ class Encoder:
         """Remember the ids of new words. A word of Latin letters, with or without a final
         mark, is one or two pieces to any of these tokenizers, so the mark is split off."""
         others, words, before = [], self.words, self.before
+        spell, ids_of, marks = self.spell, self.model_ids, self.marks
         for word in new:
             ids = before.get(word)
             if ids is None:
-                base, mark = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
-                if self.spell and base.isalpha() and (base.isascii() or max(base) < "\u0100"):
-                    ids = words.get(base) or before.get(base) or self.model_ids(self.spell(base))
-                    words[base] = ids
-                    if mark:
-                        ids += self.marks[mark]
+                base, mark = (word, None) if word.isalpha() else (word[:-1], marks.get(word[-1]))
+                if spell and (base is word or (mark and base.isalpha())) and (base.isascii() or max(base) < "\u0100"):
+                    if mark is None:
+                        ids = ids_of(spell(base))
+                    else:
+                        ids = words.get(base) or before.get(base)
+                        if ids is None:
+                            words[base] = ids = ids_of(spell(base))
+                        ids += mark
                 elif word[0].isspace() or (word[0] == LINE and word[1:2].isspace()):
                     ids = None
                 else:
@@ -108,6 +117,16 @@ class Encoder:
         words.update(zip(others, self.ids(pieces)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # Nothing here makes cycles, and the many small lists would set the collector off often.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encode_new(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encode_new(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
             self.words, self.before = {"": None, LINE: None}, self.words
         # A text with the stand-in itself is encoded as it is.
@@ -116,25 +135,19 @@ class Encoder:
             for text in texts
         ]
         firsts = self.ids([words.pop(0) for words in split])
+        # The new words of all texts are learned in one go.
+        self.learn(set().union(*split).difference(self.words))
         get = self.words.get
         found = [list(map(get, words)) for words in split]
-        # The new words of all texts are encoded in one call, and only they are looked up again.
-        gaps = [
-            (k, [i for i, ids in enumerate(rest) if ids is None])
-            for k, rest in enumerate(found)
-            if None in rest
-        ]
-        new = {split[k][i] for k, places in gaps for i in places}
-        self.learn(new.difference(self.words))
-        for k, places in gaps:
-            rest, words = found[k], split[k]
-            for i in places:
-                rest[i] = get(words[i])
-        # Where something is unknown even now, the white space around it has to be seen.
-        encoded = [
-            None if None in rest else first + b"".join(rest) for first, rest in zip(firsts, found)
-        ]
-        spaced = [k for k, ids in enumerate(encoded) if ids is None]
+        encoded: list[bytes | None] = []
+        spaced = []
+        for k, (first, rest) in enumerate(zip(firsts, found)):
+            try:
+                encoded.append(first + b"".join(rest))
+            except TypeError:
+                # Where something is unknown even now, the white space around it has to be seen.
+                spaced.append(k)
+                encoded.append(None)
         pieces = [self.around_spaces(texts[k], split[k], found[k]) for k in spaced]
         flat = iter(self.ids([piece for parts in pieces for piece in parts]))
         for k, parts in zip(spaced, pieces):
