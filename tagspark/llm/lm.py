@@ -6,9 +6,10 @@ costs that symbol and then its own smoothed share of all such words, so every te
 probability.
 
 Training takes every training document once. It goes in rounds over disjoint parts of them: in
-a round each task trains the same model on its own documents, and the models are averaged by
-their tokens, chunk by chunk, in a shuffle. What comes to the driver is one model, whose size is
-fixed. The commonest `shipped` words travel with the tasks; the counts of all other words are
+a round every learner trains the same model on its own documents, and the models are averaged by
+their tokens, chunk by chunk, in a shuffle. Learners are given documents by a hash, and there are
+as many as the tokens ask for, so the model depends on the documents and not on the number of
+tasks. What comes to the driver is one model, whose size is fixed. The commonest `shipped` words travel with the tasks; the counts of all other words are
 joined to the documents that have them, so no table of words is ever held in one place.
 """
 
@@ -41,6 +42,8 @@ class Settings:
     shipped: int = 200_000
     rare_below: float = 0.1
     rounds: int = 3
+    # Training tokens of a learner in a round, about; fewer tokens than this have one learner.
+    learner_tokens: int = 500_000
     hidden: int = 16
     # Words counted in a task before they are handed on.
     counted_at_once: int = 300_000
@@ -148,26 +151,29 @@ def symbols_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u2") for x in batch.column("symbols")]
 
 
-def train(rows: DataFrame, start: Gru, settings: Settings) -> Gru:
-    """The model after every document that is not held out was read once."""
+def train(rows: DataFrame, start: Gru, settings: Settings, tokens: int) -> Gru:
+    """The model after every document that is not held out was read once; they have `tokens`."""
     model, vector = start, start.vector()
-    training = rows.filter("not held_out").select("row", "symbols")
+    learners = max(1, round(tokens / settings.rounds / settings.learner_tokens))
+    place = F.xxhash64("doc_id", "symbols")
+    training = rows.filter("not held_out").select(
+        place.alias("place"), F.pmod(F.xxhash64(F.lit(3), place), F.lit(settings.rounds)).alias("round"),
+        F.pmod(F.xxhash64(F.lit(4), place), F.lit(learners)).alias("learner"), "symbols",
+    )
     n_chunks = -(-len(vector) // settings.chunk)
     for n_round in range(settings.rounds):
         # One array is sent to the tasks of the round.
         model.load(vector)
         sent = model
 
-        def learn(batches):
-            documents = [s for batch in batches for s in symbols_of(batch)]
-            if not documents:
-                return
+        def learned(documents: list[np.ndarray]) -> pa.RecordBatch:
             symbols = np.concatenate(documents)
+            sent.load(vector)
             sent.squares = {}
             sent.train(symbols)
             mine = np.zeros(n_chunks * settings.chunk, np.float32)
             mine[: len(vector)] = sent.vector()
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(n_chunks), pa.int32()), pa.array([len(symbols)] * n_chunks, pa.int64()),
                     pa.array([part.tobytes() for part in mine.reshape(n_chunks, -1)], pa.binary()),
@@ -175,6 +181,18 @@ def train(rows: DataFrame, start: Gru, settings: Settings) -> Gru:
                 names=["chunk", "n", "part"],
             )
 
+        def learn(batches):
+            learner, documents = None, []
+            for batch in batches:
+                for k, symbols in zip(batch.column("learner").to_pylist(), symbols_of(batch)):
+                    if k != learner and documents:
+                        yield learned(documents)
+                        documents = []
+                    learner = k
+                    documents.append(symbols)
+            if documents:
+                yield learned(documents)
+
         def average(parts: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(settings.chunk)
             for n, part in zip(parts["n"], parts["part"]):
@@ -182,9 +200,10 @@ def train(rows: DataFrame, start: Gru, settings: Settings) -> Gru:
             mean = (total / parts["n"].sum()).astype(np.float32).tobytes()
             return pd.DataFrame({"chunk": parts["chunk"][:1], "part": [mean]})
 
-        own = training.filter(F.pmod(F.xxhash64("row"), F.lit(settings.rounds)) == n_round)
-        learned = own.mapInArrow(learn, "chunk int, n long, part binary")
-        found = learned.groupBy("chunk").applyInPandas(average, "chunk int, part binary").collect()
+        own = training.filter(F.col("round") == n_round).drop("round")
+        dealt = own.repartition(learners, "learner").sortWithinPartitions("learner", "place")
+        parts = dealt.mapInArrow(learn, "chunk int, n long, part binary")
+        found = parts.groupBy("chunk").applyInPandas(average, "chunk int, part binary").collect()
         if found:
             joined = b"".join(r["part"] for r in sorted(found, key=lambda r: r["chunk"]))
             vector = np.frombuffer(joined, np.float32)[: len(vector)]
@@ -211,7 +230,7 @@ def lm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     unknown_words = max(counts.distinct - len(known) - (counts.ends > 0), 0)
     frequencies = np.array([n for _, n in known] + [unknown_tokens, counts.ends], float)
     shape = Shape(len(frequencies), len(frequencies) - 1, hidden=settings.hidden)
-    model = train(rows, Gru.start(frequencies, shape), settings)
+    model = train(rows, Gru.start(frequencies, shape), settings, counts.tokens)
 
     def score(batches):
         for batch in batches:

@@ -117,3 +117,19 @@ def test_held_out_gain(spark):
         assert abs(r["base_score"] - score) < 1e-6 * abs(score)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").withColumn(
+        "held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    )
+    gains = {}
+    for learner_tokens in (500_000, 2_000):
+        for n in (1, 4, 32):
+            found = lm_scores(docs.repartition(n), Settings(learner_tokens=learner_tokens)).filter("held_out")
+            gains[learner_tokens, n] = found.agg(F.sum(F.col("score") - F.col("base_score"))).first()[0]
+    print(gains)
+    for learner_tokens in (500_000, 2_000):
+        some = [gains[learner_tokens, n] for n in (1, 4, 32)]
+        assert max(some) - min(some) < 0.01 * max(some)
+    assert min(gains[500_000, n] for n in (1, 4, 32)) > 8_000
