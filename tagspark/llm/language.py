@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tagspark.llm.urls import host_of
+from tagspark.operators.joins import split_lookup
 from tagspark.sources.staging import stage
 
 BUCKETS = 1 << 15
@@ -30,9 +31,9 @@ BUCKETS = 1 << 15
 class Evidence:
     # Bound of the labelled documents that the text model is fitted on.
     sample: int = 20_000
-    # Neighbouring trigrams overlap, so a text counts for a part of them, and for so many at most.
-    text_weight: float = 0.3
-    most_trigrams: float = 400.0
+    # Neighbouring trigrams and words depend on each other, so evidence grows slower than a text:
+    # n trigrams count for n to this power.
+    text_power: float = 0.75
     # Pages that the wider prior counts for in a suffix's and in a host's.
     smoothing: float = 20.0
 
@@ -112,8 +113,7 @@ def text_evidence(texts: DataFrame, model: TextModel, evidence: Evidence) -> Dat
             for k, text in enumerate(batch.column("text")):
                 found = trigrams(text.as_py() or "")
                 if len(found) and languages:
-                    counts = min(len(found) * evidence.text_weight, evidence.most_trigrams)
-                    scores[k] = weights[:, found].mean(1) * counts
+                    scores[k] = weights[:, found].mean(1) * len(found) ** evidence.text_power
             offsets = np.arange(0, scores.size + 1, languages, dtype=np.int32) if languages else np.zeros(batch.num_rows + 1, np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()))
             kept = batch.drop_columns(["text"])
@@ -135,7 +135,9 @@ def identify_language(pages: DataFrame, model: TextModel, evidence: Evidence = E
     gives an empty one. Without any language known to the model, `language` is null.
     """
     langs = model.languages
-    declared = F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 2000), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)", 1))
+    # The first tag of the kind, wherever it is; neither pattern goes over a text twice.
+    root = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html(\s[^<>]*)>", 1)
+    declared = F.lower(F.regexp_extract(root, r"(?i)\slang\s*=\s*[\"']?([a-z]+)", 1))
     host = host_of(F.col("url"))
     prepared = pages.select(
         "page_id", host.alias("host"), F.regexp_extract(host, r"([^.:]*)(:[0-9]*)?$", 1).alias("suffix"),
@@ -143,11 +145,13 @@ def identify_language(pages: DataFrame, model: TextModel, evidence: Evidence = E
         visible_text(F.col("html")).alias("text"),
     )
     scored = text_evidence(prepared, model, evidence)
-    scored = stage(scored.withColumn("first", best("text_scores")), "text-evidence")
+    scored = stage(
+        scored.withColumn("first", best("text_scores")).withColumn("_row", F.monotonically_increasing_id()), "text-evidence"
+    )
 
     def counts(*by: str) -> DataFrame:
         per = F.array(*[F.sum((F.col("first") == k).cast("double")) for k in range(len(langs))])
-        return scored.groupBy(*by).agg(per.cast("array<double>").alias("n"))
+        return scored.groupBy(*by).agg(per.cast("array<double>").alias("n"), F.count(F.lit(1)).alias("pages"))
 
     # One row: counts of all pages per language, and how often each language declares what.
     overall = counts().first()["n"] or []
@@ -159,15 +163,18 @@ def identify_language(pages: DataFrame, model: TextModel, evidence: Evidence = E
         size = F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(n, wider, lambda x, w: (x + evidence.smoothing * w) / (size + evidence.smoothing))
 
-    suffixes = stage(counts("suffix").select("suffix", F.col("n").alias("suffix_n")), "suffixes")
-    hosts = stage(counts("host").select("host", F.col("n").alias("host_n")), "hosts")
+    suffixes = stage(counts("suffix").withColumnRenamed("n", "suffix_n"), "suffixes")
+    hosts = stage(counts("host").withColumnRenamed("n", "host_n"), "hosts")
     # At most languages + 2 values are declared.
     declarations = stage(counts("declared").select("declared", F.col("n").alias("declared_n")), "declared")
     kinds = len(langs) + 2
     sizes = F.array(*[F.lit((x or 0.0) + kinds) for x in overall]).cast("array<double>")
     said = F.transform(F.zip_with("declared_n", sizes, lambda n, s: (n + 1.0) / s), lambda p: F.log(p))
+    with_host = split_lookup(
+        scored.join(F.broadcast(declarations), "declared"), hosts.drop("pages"), "host", "_row", counts=(hosts, "pages")
+    )
     joined = (
-        scored.join(declarations, "declared").join(hosts, "host").join(suffixes, "suffix")
+        split_lookup(with_host, suffixes.drop("pages"), "suffix", "_row", counts=(suffixes, "pages"))
         .withColumn("own", F.expr("transform(text_scores, (s, i) -> if(i = first, 1D, 0D))"))
         .withColumn("host_rest", F.zip_with("host_n", "own", lambda n, o: n - o))
         .withColumn("suffix_prior", smooth(F.zip_with("suffix_n", "own", lambda n, o: n - o), base_array))

@@ -147,18 +147,23 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """`(doc_id, source, size, source_size, target, copies, taken)`, one row per row of `docs`.
 
     A null text has no words; null sources are one source, the last; rows with equal ids are
-    taken each on their own; an empty table gives an empty one. Draws are hashes of the ids, so
-    reruns agree.
+    taken each on their own, by their place in the input; an empty table gives an empty one. Draws
+    are hashes of the ids, so reruns agree.
     """
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    # Rows that share an id are told apart by their place in the input; where none do, only ids count.
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first() is not None
+    row = F.monotonically_increasing_id() if repeated else F.lit(0).cast("long")
+    sized = stage(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.alias("_row")), "sizes"
+    )
     targets = stage(source_targets(sized, mix), "targets")
     largest = targets.agg(F.max("n_docs").alias("n")).first()["n"] or 0
     ratio = F.coalesce(F.least(F.try_divide("target", "source_size"), F.lit(mix.most)), F.lit(0.0))
-    draw = F.pmod(F.xxhash64("doc_id", "size", F.lit(mix.seed)), F.lit(2**40)) / 2**40
+    draw = F.pmod(F.xxhash64("doc_id", "size", F.lit(mix.seed), "_row"), F.lit(2**40)) / 2**40
     # Few rows: one per source, joined on a column of the wide side that can be hot.
     rows = (
         sized.join(targets, sized["source"].eqNullSafe(targets["source"]))
-        .select("doc_id", sized["source"], "size", "source_size", "n_docs", "target", ratio.alias("_ratio"))
+        .select("doc_id", "_row", sized["source"], "size", "source_size", "n_docs", "target", ratio.alias("_ratio"))
         .withColumn("_copies", F.floor("_ratio"))
         .withColumn("_chance", F.col("_ratio") - F.col("_copies"))
         .withColumn("_draw", draw)
@@ -167,7 +172,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / (mix.block // 2) ** n_round / mix.block))
         last = n <= mix.block
-        place = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", "size", F.lit(n_round)), blocks)
+        place = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", "size", F.lit(n_round), "_row"), blocks)
         rows = stage(flight(rows.withColumn("_block", place.cast("long")), mix, last), "flight")
         open_ = (F.col("_chance") > 0) & (F.col("_chance") < 1)
         done.append(rows if last else rows.filter(~open_))

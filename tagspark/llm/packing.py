@@ -124,7 +124,9 @@ def pack_pieces(pieces: DataFrame, caps: Capacities = Capacities()) -> DataFrame
         order = order.drop(columns="_group")
         return order.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # With the number of the stored row, so that pieces of one id, or of none, are spread too.
+    row = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", row), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(pack, schema)
 
 

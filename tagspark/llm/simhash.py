@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tagspark.operators.joins import split_lookup
 from tagspark.sources.staging import stage
 
 BITS = 64
@@ -205,14 +206,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     an empty one.
     """
     rows = stage(fingerprints(docs, shingle), "fingerprints")
-    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = stage(links(fps.select("fp"), distance), "links")
     roots = components(found).toDF("fp", "root")
     rooted = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "rooted")
     names = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     named = stage(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(
+    # A third of all rows may have one fingerprint.
+    return split_lookup(rows, named, "fp", "doc_id", counts=(fps, "n")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

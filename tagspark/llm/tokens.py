@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tagspark.llm.common import worker_memo
+from tagspark.operators.ordering import with_row_index
 from tagspark.sources.staging import new_path, stage
 
 # Pieces that a worker remembers, twice: those seen since the last turnover, and those before.
@@ -315,14 +316,16 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """Written beside its place and renamed, so that a repeated task leaves one whole file."""
-    store, path = filesystem(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
+def write_file(uri: str, data: bytes) -> str:
+    """Write a file under a name of this attempt, and return it. What a lost attempt left behind
+    is named by no table."""
     attempt = TaskContext.get().taskAttemptId() if TaskContext.get() else 0
-    with store.open_output_stream(f"{path}.{attempt}.tmp") as out:
+    name = f"{uri}-{attempt}.ids"
+    store, path = filesystem(name)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path) as out:
         out.write(data)
-    store.move(f"{path}.{attempt}.tmp", path)
+    return name
 
 
 def read_file(uri: str) -> TokenFile:
@@ -375,10 +378,9 @@ def write_token_files(
     """Encode every whole text of `docs (doc_id, text, ...)` into files in ascending doc_id order.
 
     A null or empty text has the end id only; null ids come first; rows with equal ids are all
-    written, in the order of their texts; an empty table writes no file. A file holds whole
-    documents up to `tokens_per_file` tokens, or one longer document. The files lie in the
-    shared folder; the table of files has one row each, and only that table is put in one task
-    to sum up where each file begins.
+    written, in the order of a hash of their texts; an empty table writes no file. A file holds
+    whole documents up to `tokens_per_file` tokens, or one longer document. The files lie in the
+    shared folder; the table of files has one row each.
     """
     folder = new_path(docs.sparkSession, "token-ids")
     schema = "path string, part int, number int, n_docs long, n_tokens long"
@@ -389,8 +391,8 @@ def write_token_files(
 
         def flush():
             nonlocal held, size, number
-            path = f"{folder}/part-{part:06d}-{number:06d}.ids"
-            write_file(path, file_bytes([i for i, _ in held], [x for _, x in held]))
+            data = file_bytes([i for i, _ in held], [x for _, x in held])
+            path = write_file(f"{folder}/part-{part:06d}-{number:06d}", data)
             done = {"path": path, "part": part, "number": number, "n_docs": len(held), "n_tokens": size}
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_pylist([done], schema=arrow_schema)
@@ -407,15 +409,18 @@ def write_token_files(
         [("path", pa.string()), ("part", pa.int32()), ("number", pa.int32())]
         + [("n_docs", pa.int64()), ("n_tokens", pa.int64())]
     )
+    # Rows of one id are spread by their texts.
+    order = ("doc_id", "_hash", "text")
     ordered = (
-        docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+        .repartitionByRange("doc_id", "_hash")
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
     )
     files = stage(ordered.mapInArrow(write, schema), "token-files")
-    in_order = Window.orderBy("part", "number")
-    before = F.coalesce(
-        F.sum("n_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    return TokenFiles(
+        with_row_index(files, "part", "number", name="file", start_sums={"first_token": "n_tokens"}).drop("file")
     )
-    return TokenFiles(files.withColumn("first_token", before))
 
 
 def crc_of_ids(ids: np.ndarray) -> tuple[int]:

@@ -60,3 +60,27 @@ def test_trigrams():
     assert len(trigrams("")) == 0 and len(trigrams("a")) == 1
     assert trigrams("Été 12").tolist() == trigrams(" été").tolist()
     assert Evidence().sample > 0
+
+
+def test_the_whole_page_is_read(spark):
+    """A declaration behind a long comment, and unclosed tags in any number."""
+    model = fit_text_model(table(spark, SF, "documents"))
+    rows = [
+        (1, "http://a.xx/", "<!-- " + "c" * 5_000 + ' --><HTML class="x" LANG=\'de\'>'),
+        (2, "http://a.xx/", "<html " * 50_000), (3, "http://a.xx/", '<html data-lang="de">'),
+        (4, "http://a.xx/", '<html\nlang = fr-CH>'), (5, "http://a.xx/", '<html lang="xx">'),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["declared"] for r in identify_language(frame, model).collect()}
+    assert got == {1: "de", 2: "none", 3: "none", 4: "fr", 5: "other"}
+
+
+def test_longer_texts_speak_louder(spark):
+    docs = [(k, t * 30, l) for k, (t, l) in enumerate([("the house and ", "en"), ("der haus und ", "de")] * 5)]
+    model = fit_text_model(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    rows = [(k, None, "the house and der " * 4**k) for k in range(5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in identify_language(frame, model).collect()}
+    assert all(got[k]["language"] == "en" for k in got)
+    found = [got[k]["probability"] for k in range(5)]
+    assert found == sorted(found)

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagspark.llm.mixing import Mix, apply_mix, fly, land, mix_sources
+from tagspark.sources.staging import stage
 
 
 def filled(sizes, mix):
@@ -38,7 +40,7 @@ def test_mix(spark, block):
     names = ["b", "a", None, "ä", "B", "c"]
     rows = [(i, "w " * int(draw.integers(0, 40)), names[int(draw.integers(0, 6)) if i % 3 else 0]) for i in range(900)]
     rows += [(1000, None, "empty"), (None, "x y", "a"), (5, "x y z", "a"), (5, "x y z", "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("x", "x")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash")).withColumn("_row", F.lit(1))
     mix = Mix(block=block)
     got = mix_sources(docs, mix).toPandas()
     assert len(got) == len(rows)
@@ -66,3 +68,17 @@ def test_apply_mix_and_no_rows(spark):
     )
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_sources(empty).count() == 0
+
+
+def test_one_id_is_mixed_in_many_blocks(spark):
+    """All rows share an id and a size; each is taken on its own, and reruns agree."""
+    docs = spark.createDataFrame([(7, "a b c", "x" if k % 4 else "y") for k in range(3000)], "doc_id long, text string, source string")
+    docs = stage(docs, "one-id")
+    mix = Mix(block=100)
+    got = [tuple(r) for r in mix_sources(docs, mix).select("source", "size", "target", "copies", "taken").collect()]
+    assert len(got) == 3000
+    for source in "xy":
+        mine = [r for r in got if r[0] == source]
+        assert abs(sum(r[4] for r in mine) - mine[0][2]) <= 3 * 2 and len({r[3] for r in mine}) <= 2
+    again = [tuple(r) for r in mix_sources(docs, mix).select("source", "size", "target", "copies", "taken").collect()]
+    assert sorted(again) == sorted(got)
