@@ -10,16 +10,17 @@ from tagspark.llm.common import table
 from tagspark.llm.language import fit_text_model, identify_language
 from tagspark.llm.lm import lm_scores
 from tagspark.llm.merkle import merkle_fingerprints
-from tagspark.llm.mixing import mix_sources
+from tagspark.llm.mixing import Mix, mix_sources, source_targets, word_count
 from tagspark.llm.negatives import hard_negatives, quantised
 from tagspark.llm.neighbours import near_vectors
 from tagspark.llm.packing import pack_documents
 from tagspark.llm.quality import judge_quality
 from tagspark.llm.simhash import near_duplicates
+from tagspark.llm.sql import ORACLES
 from tagspark.llm.spelling import spelling_variants
 from tagspark.llm.templates import dedup_lines
 from tagspark.llm.tokens import crc_of_ids, write_token_files
-from tagspark.llm.urls import UrlRule, judge_urls
+from tagspark.llm.urls import UrlRule, host_of, judge_urls, path_of, rule_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,10 +112,40 @@ def op13_hard_negatives(spark, sf):
     )
 
 
+# What the operators above work with, for itself: these parts have a form in SQL.
+
+
+def quality_statistics(spark, sf):
+    """The statistics that base_failed rests on."""
+    return judge_quality(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
+
+
+def mix_targets(spark, sf):
+    """How many words the mix is to take from each source."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return source_targets(docs, Mix()).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+def url_rules(spark, sf):
+    """Host, path and rule of every address."""
+    pages = table(spark, sf, "pages").select(
+        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
+    )
+    return pages.withColumn("rule", rule_for(URL_RULES, F.col("host"), F.col("path"))["rule"])
+
+
+def edited_texts(spark, sf):
+    """Digests of the edited texts that the Merkle trees are compared on."""
+    return merkle_fingerprints(table(spark, sf, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = (
     op1_token_files, op2_line_templates, op3_best_fit_packing, op4_mix_sources, op5_url_templates,
     op6_page_language, op7_recurrent_scores, op8_simhash, op9_quality_votes, op10_merkle_trees,
     op11_neighbour_descent, op12_spelling_variants, op13_hard_negatives,
+    quality_statistics, mix_targets, url_rules, edited_texts,
 )
 
 
@@ -123,5 +154,6 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    """None yet: models, hashes and trees are tested against plain Python instead."""
-    return {}
+    """For the queries that SQL can express; models, trees, XXH64, crc32 and file formats are
+    tested against plain Python instead."""
+    return dict(ORACLES)
