@@ -45,14 +45,18 @@ def masked(line: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame, tree: Tree) -> DataFrame:
-    """`(doc, pos, h, leaf)` of every line of `docs (doc, text)` that is parsed."""
+    """`(doc, pos, h, leaf)` of every line of `docs (doc, text)`; `h` and `leaf` are null for lines
+    that are not parsed. They are left out only when the lines are read: a filter here would be
+    moved below the patterns and take them once more."""
     lines = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, tree.depth))
+    is_parsed = (F.size("tokens") >= tree.min_tokens) & (F.col("masked") != "")
     return (
         lines.select("doc", "pos", masked(F.col("line")).alias("masked"))
         .withColumn("tokens", F.split(F.col("masked"), " "))
-        .filter((F.size("tokens") >= tree.min_tokens) & (F.col("masked") != ""))
-        .select("doc", "pos", F.xxhash64("masked").alias("h"), leaf.alias("leaf"))
+        .select(
+            "doc", "pos", F.when(is_parsed, F.xxhash64("masked")).alias("h"), F.when(is_parsed, leaf).alias("leaf")
+        )
     )
 
 
@@ -121,7 +125,8 @@ def repeated_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     `docs (doc, text)` are named by a `doc` of any type that has an order. `marks` has an `x` at
     the places of these lines.
     """
-    lines = stage(parsed_lines(docs, tree), "lines")
+    stored = stage(parsed_lines(docs, tree), "lines")
+    lines = stored.filter("h is not null")
     per_doc = lines.groupBy("h", "leaf", "doc").agg(F.min("pos").alias("pos"))
     kinds = stage(
         per_doc.groupBy("h", "leaf").agg(
@@ -155,7 +160,7 @@ def repeated_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
         .select("doc", F.size("at").alias("n_dropped"), marks_at("at", "'x'").alias("marks")),
         "flags",
     )
-    for table in (lines, kinds, merged, named, totals, drops):
+    for table in (stored, kinds, merged, named, totals, drops):
         discard(table)
     return flags
 
@@ -172,7 +177,8 @@ def with_lines_dropped(docs: DataFrame, tree: Tree) -> DataFrame:
     kept = F.expr(
         "array_join(filter(split(_row.text, '\n'), (line, i) -> not coalesce(get(marks, i), '') = 'x'), '\n')"
     )
-    return rows.join(flags, "doc", "left").select(
+    # Texts are shuffled once at any size: a broadcast of small flags would hide what that costs.
+    return rows.join(flags.hint("merge"), "doc", "left").select(
         "_row",
         F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(lines)).alias("_n_lines"),
         F.coalesce("n_dropped", F.lit(0)).alias("_n_dropped"),
