@@ -23,9 +23,8 @@ def grams(tok: Column) -> Column:
 
 
 def word_pairs(tok: Column) -> Column:
-    """The distinct pairs `(first, second)` of neighbouring tokens."""
+    """The distinct pairs of neighbouring tokens, joined by a space, which no token has."""
     pairs = F.zip_with(
-        tok, F.slice(tok, F.lit(2), F.size(tok)),
-        lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("first"), b.alias("second"))),
+        tok, F.slice(tok, F.lit(2), F.size(tok)), lambda a, b: F.concat(a, F.lit(" "), b)
     )
     return F.array_distinct(F.array_compact(pairs))

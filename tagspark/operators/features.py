@@ -88,12 +88,15 @@ def frequent_terms(docs: DataFrame, n_docs: int, min_df: float = MIN_DF) -> Data
     words = docs.select(F.explode_outer(F.array_distinct(tok)).alias("term")).filter("term is not null")
     kept = cut(vocabulary(words.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_docs, min_df))
     size = measured_bytes(kept)
-    pairs = docs.select(F.explode_outer(word_pairs(tok)).alias("p")).filter("p is not null").select("p.first", "p.second")
+    pairs = (
+        docs.select(F.explode_outer(word_pairs(tok)).alias("term"))
+        .filter("term is not null")
+        .select("term", F.substring_index("term", " ", 1).alias("first"), F.substring_index("term", " ", -1).alias("second"))
+    )
     for side, other in (("first", "second"), ("second", "first")):
         known = kept.select(F.col("term").alias(side), "df")
         pairs = lookup(pairs, known.select(side), side, other, size, "left_semi", counts=(known, "df"))
-    both = F.concat("first", F.lit(" "), "second").alias("term")
-    counted = pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("df")).select(both, "df")
+    counted = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return kept.unionByName(vocabulary(counted, n_docs, min_df))
 
 
