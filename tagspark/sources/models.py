@@ -30,9 +30,3 @@ def save_tag_model(model: LinearModel, path: str) -> None:
 def load_tag_model(spark: SparkSession, path: str) -> LinearModel:
     rows = spark.read.parquet(f"{path}/tags").orderBy("rank").collect()
     return LinearModel(spark.read.parquet(f"{path}/weights"), [r["tag"] for r in rows])
-
-
-def save_table(df: DataFrame, path: str) -> DataFrame:
-    """Write a table (tag statistics, repeated pairs) and return it as stored."""
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

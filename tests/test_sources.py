@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from conftest import SF
 from tagspark.plans import catalog, jobs
 from tagspark.plans.fixtures import q_test, q_train
-from tagspark.sources.models import save_table
 from tagspark.sources.questions import (
     read_ordered, read_questions, write_presubmission, write_questions, write_submission,
 )
@@ -70,10 +69,6 @@ def test_staged_tables_can_be_deleted(spark):
         assert not os.path.exists(path)
 
 
-def test_save_table(spark, tmp_path):
-    assert save_table(spark.range(5), str(tmp_path / "t")).count() == 5
-
-
 def test_whole_job(spark):
     train, test = q_train(spark, SF), q_test(spark, SF)
     prepared = jobs.prepare(train, test, min_df=0.01)
