@@ -128,7 +128,6 @@ def test_scores_do_not_depend_on_the_partitions(spark):
         for n in (1, 4, 32):
             found = lm_scores(docs.repartition(n), Settings(learner_tokens=learner_tokens)).filter("held_out")
             gains[learner_tokens, n] = found.agg(F.sum(F.col("score") - F.col("base_score"))).first()[0]
-    print(gains)
     for learner_tokens in (500_000, 2_000):
         some = [gains[learner_tokens, n] for n in (1, 4, 32)]
         assert max(some) - min(some) < 0.01 * max(some)

@@ -189,7 +189,6 @@ def test_held_out_labels_are_told_better_than_by_the_host(spark):
     by_host = got.join(hosts, got["host"] == hosts["h"], "left").agg(
         F.avg((F.coalesce("allowed", F.lit(True)) == F.col("good")).cast("int"))
     ).first()[0]
-    print(by_template, by_host, all_allowed)
     assert by_template["n"] > 300 and by_template["r"] > 0.85 > by_host and by_template["r"] > all_allowed + 0.1
 
 
