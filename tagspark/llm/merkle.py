@@ -106,14 +106,14 @@ def differing(a: str, b: str, level: str) -> Column:
     return F.transform(F.filter(marked, lambda x: ~F.array_contains(other, x["h"])), lambda x: x["i"])
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
-    """`(doc, n_chars, next_doc)` of `docs (doc, doc_id, text)`, in descending order of ids; after
-    the last comes the first.
+def next_documents(docs: DataFrame, doc_id: Column) -> DataFrame:
+    """`(doc, n_chars, next_doc)` of `docs (doc, text)`, in descending order of `doc_id`; after the
+    last comes the first.
 
     A null id is the last of the order. Only ids and lengths move.
     """
     lengths = docs.select(
-        "doc", F.coalesce("doc_id", F.lit(-(2**63))).alias("_order"),
+        "doc", F.coalesce(doc_id, F.lit(-(2**63))).alias("_order"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
     ).distinct()
     placed = with_row_index(stage(lengths, "lengths"), F.col("_order").desc(), "doc", name="_place")
@@ -138,14 +138,17 @@ def merkle_fingerprints(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """
     # A key that is never null, so that it can be joined on.
     key = F.struct(document_key(docs).alias("key"))
-    whole = docs.select(key.alias("doc"), "doc_id", "text")
-    order = stage(next_documents(whole), "order")
+    # The id is read from the key: one shuffle of keys and texts then serves both uses of them.
+    whole = docs.select(key.alias("doc"), "text")
+    shared_ids = isinstance(whole.schema["doc"].dataType["key"].dataType, T.StructType)
+    doc_id = F.col("doc.key.doc_id") if shared_ids else F.col("doc.key")
+    order = stage(next_documents(whole, doc_id), "order")
     own = tree(whole.join(order.select("doc", "n_chars"), "doc"), "text", "fingerprint", shape)
     sent = order.select(F.col("doc").alias("to_doc"), F.col("n_chars").alias("to_chars"), F.col("next_doc").alias("doc"))
     # Of rows that are alike one sends.
     beginnings = (
         own.select("doc", "text", "fingerprint", "fingerprint_leaves").dropDuplicates(["doc"])
-        if isinstance(whole.schema["doc"].dataType["key"].dataType, T.StructType)
+        if shared_ids
         else own
     )
     beginnings = beginnings.join(sent, "doc").select(
@@ -160,7 +163,7 @@ def merkle_fingerprints(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     met = own.join(beginnings, F.col("doc") == F.col("to_doc")).withColumn("edited", edited_text)
     edited = tree(met, "edited", "edited_fingerprint", shape)
     return edited.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        doc_id.alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         likeness("fingerprint", "next").alias("near_next"),
