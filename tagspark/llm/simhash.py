@@ -5,6 +5,9 @@ then differs in at most one bit. Every fingerprint is indexed under all variants
 segments with one bit wiped out, so two fingerprints that may link always share a key; an
 equality join finds them and all 64 bits are compared.
 
+Keys that many share are cut again, by the bits outside their segment, so the comparisons of a
+fingerprint do not grow with the number of fingerprints.
+
 Equal fingerprints are made one before anything else. Inside a key only a spanning forest of
 the links is written, never all pairs: members are taken up one by one, and everything within
 reach of one leaves the list of those still to be found.
@@ -23,9 +26,11 @@ from tagspark.operators.joins import split_lookup
 from tagspark.sources.staging import stage
 
 BITS = 64
-# Members of a key that are compared in one task; larger keys are cut into blocks, and every
-# pair of blocks is compared.
+# Members of a key that are compared in one task. Inside larger keys the method is applied again;
+# what is large even then is cut into blocks, and every pair of blocks is compared.
 BLOCK = 20_000
+# Large keys, of a few bytes each, that are broadcast at most.
+LARGE_AT_ONCE = 1_000_000
 ROWS_AT_ONCE = 512
 
 
@@ -77,18 +82,41 @@ def segment_value(first: int, bits: int) -> str:
     return f"(shiftrightunsigned(fp, {first}) & {mask}L)"
 
 
+def wiped_keys(value: str, first: int, bits: int, above: str = "") -> list[str]:
+    """Keys of a segment's value with one of its bits wiped out, for each of its bits."""
+    return [f"xxhash64({above}{bit}, {value} & ~{1 << (bit - first)}L)" for bit in range(first, first + bits)]
+
+
 def keys_of(fps: DataFrame, distance: int) -> DataFrame:
-    """`(key, fp)`: every fingerprint under each one-bit-wiped variant of each segment."""
+    """`(key, part, fp)`: every fingerprint under each one-bit-wiped variant of each segment."""
     keys = [
-        f"xxhash64({bit}, {segment_value(first, bits)} & ~{1 << (bit - first)}L)"
-        for first, bits in segments(distance)
-        for bit in range(first, first + bits)
+        f"named_struct('key', {key}, 'part', {part})"
+        for part, (first, bits) in enumerate(segments(distance))
+        for key in wiped_keys(segment_value(first, bits), first, bits)
+    ]
+    return fps.selectExpr(f"inline(array({', '.join(keys)}))", "fp")
+
+
+def rest_segments(first: int, bits: int, distance: int) -> list[tuple[int, int, str]]:
+    """`(first bit, bits, value)` of the segments of all bits outside a segment.
+
+    The bits are turned so that those outside come first; of the segments, again one differs in at
+    most one bit.
+    """
+    outside = BITS - bits
+    turn = (first + bits) % BITS
+    turned = f"(shiftrightunsigned(fp, {turn}) | shiftleft(fp, {BITS - turn}))" if turn else "fp"
+    n = distance // 2 + 1
+    cuts = [outside * k // n for k in range(n + 1)]
+    return [
+        (a, b - a, f"(shiftrightunsigned({turned}, {a}) & {(1 << (b - a)) - 1}L)")
+        for a, b in zip(cuts, cuts[1:])
+        if b > a
     ]
-    return fps.selectExpr(f"explode(array({', '.join(keys)})) as key", "fp")
 
 
 def large_keys(fps: DataFrame, distance: int) -> DataFrame:
-    """`(key, blocks)` of keys that may hold more than 1.5 blocks.
+    """`key` of those that may hold more than 1.5 blocks.
 
     The members of a key have one of two values in its segment, so counting the values finds
     all large keys; nearly always there is none.
@@ -101,13 +129,67 @@ def large_keys(fps: DataFrame, distance: int) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > BLOCK // 2)
         )
-        keys = ", ".join(f"xxhash64({b}, value & ~{1 << (b - first)}L)" for b in range(first, first + bits))
-        part = counts.selectExpr(f"explode(array({keys})) as key", "n")
+        part = counts.selectExpr(f"explode(array({', '.join(wiped_keys('value', first, bits))})) as key", "n")
         parts = part if parts is None else parts.unionByName(part)
-    blocks = F.ceil((F.sum("n") + BLOCK // 2) / BLOCK)
+    return parts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK).select("key")
+
+
+def large_inner_keys(fps: DataFrame, distance: int) -> DataFrame:
+    """`(key, blocks)` of keys inside keys that may still hold more than one block.
+
+    The members of an inner key have one of two values in each of its two segments. Of these four
+    pairs of values those that are not counted hold at most a quarter of a block each.
+    """
+    parts = None
+    for first, bits in segments(distance):
+        outer = wiped_keys("value", first, bits)
+        for a, n, value in rest_segments(first, bits, distance):
+            counts = (
+                fps.groupBy(F.expr(segment_value(first, bits)).alias("value"), F.expr(value).alias("rest"))
+                .agg(F.count(F.lit(1)).alias("n"))
+                .filter(F.col("n") > BLOCK // 4)
+            )
+            inner = counts.selectExpr(f"explode(array({', '.join(outer)})) as above", "rest", "n")
+            part = inner.selectExpr(f"explode(array({', '.join(wiped_keys('rest', a, n, 'above, '))})) as key", "n")
+            parts = part if parts is None else parts.unionByName(part)
+    blocks = F.ceil((F.sum("n") + 3 * (BLOCK // 4)) / BLOCK)
     return parts.groupBy("key").agg(blocks.cast("int").alias("blocks")).filter(F.col("blocks") > 1)
 
 
+def refined(keyed: DataFrame, large: DataFrame, fps: DataFrame, distance: int) -> DataFrame:
+    """`(key, fp)` with the method applied once more inside the large keys.
+
+    There a fingerprint is indexed by all bits outside the key's segment, cut and wiped in the same
+    way. Members that share an inner key agree in over half of their bits, so unrelated ones no
+    longer meet; an inner key that is still large is a group of near copies, and is cut into blocks.
+    """
+    members = F.broadcast(large) if large.count() <= LARGE_AT_ONCE else large
+    inside = keyed.join(members, "key")
+    outside = keyed.join(members, "key", "left_anti").select("key", "fp")
+    inner = F.lit(None).cast("array<bigint>")
+    for part, (first, bits) in enumerate(segments(distance)):
+        keys = [
+            key
+            for a, n, value in rest_segments(first, bits, distance)
+            for key in wiped_keys(value, a, n, "key, ")
+        ]
+        inner = F.when(F.col("part") == part, F.expr(f"array({', '.join(keys)})")).otherwise(inner)
+    inside = inside.select(F.explode(inner).alias("key"), "fp")
+    still_large = stage(large_inner_keys(fps, distance), "large-inner-keys")
+    if still_large.first() is not None:
+        # Each member of block i meets every block j in the run (i, j) or (j, i).
+        own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)))
+        runs = F.transform(
+            F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1),
+            lambda other: F.xxhash64("key", F.least(other, own), F.greatest(other, own)),
+        )
+        few = still_large.count() <= LARGE_AT_ONCE
+        inside = inside.join(F.broadcast(still_large) if few else still_large, "key", "left").select(
+            F.explode(runs).alias("key"), "fp"
+        )
+    return outside.unionByName(inside)
+
+
 def forest(values: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between `values` that join all that are within reach of each other."""
     left = values
@@ -126,14 +208,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     """`(a, b)`: verified links that connect all distinct fingerprints within `distance` bits."""
     keyed = keys_of(fps, distance)
     large = stage(large_keys(fps, distance), "large-keys")
-    if large.first() is not None:
-        # Each member of block i meets every block j in the run (i, j) or (j, i).
-        own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)))
-        runs = F.transform(
-            F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1),
-            lambda other: F.xxhash64("key", F.least(other, own), F.greatest(other, own)),
-        )
-        keyed = keyed.join(large, "key", "left").select(F.explode(runs).alias("key"), "fp")
+    keyed = keyed.select("key", "fp") if large.first() is None else refined(keyed, large, fps, distance)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = keyed.repartition(n, "key").sortWithinPartitions("key")
 

@@ -82,6 +82,60 @@ def test_links_lose_nothing(spark, block, monkeypatch):
     assert mine == want
 
 
+def unrelated_in_one_segment(n):
+    """Fingerprints with the same low 22 bits, a tenth of them with a neighbour at up to 4 bits."""
+    draw = random.Random(4)
+    fps = {draw.getrandbits(42) << 22 | 12345 for _ in range(n)}
+    for fp in sorted(fps)[: n // 10]:
+        for b in draw.sample(range(64), draw.randint(1, 4)):
+            fp ^= 1 << b
+        fps.add(fp)
+    return sorted(fps)
+
+
+def test_large_keys_are_cut_again(spark, monkeypatch):
+    """All fingerprints share keys; inside these, comparisons stay few and no link is lost."""
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    fps = unrelated_in_one_segment(1500)
+    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    table_ = spark.createDataFrame([(s,) for s in signed], "fp long")
+    large = simhash.large_keys(table_, 4)
+    assert large.count() >= 20
+    keyed = simhash.keys_of(table_, 4)
+
+    def pairs(keys):
+        return keys.groupBy("key").agg(F.countDistinct("fp").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+
+    # Of two unrelated ones that share the 21 outer keys, one in 2^13 shares each of 43 inner ones.
+    assert pairs(simhash.refined(keyed, large, table_, 4)) < pairs(keyed) / 100
+    label = {r["node"]: r["root"] for r in components(links(table_, 4)).collect()}
+    assert [label.get(s, s) for s in signed] == classes(signed, fps)
+
+
+@pytest.mark.parametrize("distance", range(0, 9))
+def test_near_fingerprints_share_an_inner_key(spark, distance):
+    """Two fingerprints within reach and in a shared key share a key inside it as well."""
+    draw = random.Random(distance)
+    for first, bits in segments(distance):
+        rest = simhash.rest_segments(first, bits, distance)
+        assert sum(n for _, n, _ in rest) == 64 - bits
+        rows = []
+        for _ in range(20):
+            x = draw.getrandbits(64)
+            y = x
+            for b in draw.sample([b for b in range(64) if not first <= b < first + bits] or [0], min(distance, 64 - bits)):
+                y ^= 1 << b
+            rows.append(tuple(int(np.uint64(v).astype(np.int64)) for v in (x, y)))
+        pairs = spark.createDataFrame(rows, "x long, y long")
+        if not rest:
+            continue
+        differ = [
+            F.bit_count(F.expr(v.replace("fp", "x")).bitwiseXOR(F.expr(v.replace("fp", "y")))) for _, _, v in rest
+        ]
+        least = F.least(*differ) if len(differ) > 1 else differ[0]
+        assert pairs.filter(least > 1).count() == 0
+
+
 def test_forest_joins_a_chain():
     chain = np.array([(1 << k) - 1 for k in range(0, 60, 4)], np.uint64)
     assert sum(len(a) for a, _ in forest(chain, 4)) == len(chain) - 1
