@@ -163,18 +163,19 @@ def refined(keyed: DataFrame, large: DataFrame, fps: DataFrame, distance: int) -
     way. Members that share an inner key agree in over half of their bits, so unrelated ones no
     longer meet; an inner key that is still large is a group of near copies, and is cut into blocks.
     """
-    members = F.broadcast(large) if large.count() <= LARGE_AT_ONCE else large
-    inside = keyed.join(members, "key")
-    outside = keyed.join(members, "key", "left_anti").select("key", "fp")
-    inner = F.lit(None).cast("array<bigint>")
+    marked = large.withColumn("is_large", F.lit(True))
+    marked = F.broadcast(marked) if large.count() <= LARGE_AT_ONCE else marked
+    inner = F.array("key")
     for part, (first, bits) in enumerate(segments(distance)):
         keys = [
             key
             for a, n, value in rest_segments(first, bits, distance)
             for key in wiped_keys(value, a, n, "key, ")
         ]
-        inner = F.when(F.col("part") == part, F.expr(f"array({', '.join(keys)})")).otherwise(inner)
-    inside = inside.select(F.explode(inner).alias("key"), "fp")
+        if keys:
+            here = F.col("is_large") & (F.col("part") == part)
+            inner = F.when(here, F.expr(f"array({', '.join(keys)})")).otherwise(inner)
+    inside = keyed.join(marked, "key", "left").select(F.explode(inner).alias("key"), "fp")
     still_large = stage(large_inner_keys(fps, distance), "large-inner-keys")
     if still_large.first() is not None:
         # Each member of block i meets every block j in the run (i, j) or (j, i).
@@ -187,7 +188,7 @@ def refined(keyed: DataFrame, large: DataFrame, fps: DataFrame, distance: int) -
         inside = inside.join(F.broadcast(still_large) if few else still_large, "key", "left").select(
             F.explode(runs).alias("key"), "fp"
         )
-    return outside.unionByName(inside)
+    return inside
 
 
 def forest(values: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
