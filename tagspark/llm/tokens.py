@@ -35,6 +35,8 @@ from tagspark.sources.staging import new_path, stage
 # Pieces that a worker remembers, twice: those seen since the last turnover, and those before.
 REMEMBERED = 400_000
 ROWS_AT_ONCE = 256
+# Tokens that are read back at a time, or one longer document.
+TOKENS_AT_ONCE = 1 << 18
 # Stands for a line end that starts a piece.
 LINE = "\x00"
 
@@ -292,6 +294,18 @@ class TokenFile:
     def document(self, k: int) -> np.ndarray:
         return self.span(int(self.ends[k]), int(self.ends[k + 1]))
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """The ids of all documents in order, read in spans of many documents."""
+        ends = self.ends.astype(np.int64)
+        k = 0
+        while k < self.n_docs:
+            start = int(ends[k])
+            last = max(k + 1, int(np.searchsorted(ends, start + TOKENS_AT_ONCE, "right")) - 1)
+            ids = self.span(start, int(ends[last]))
+            places = (ends[k : last + 1] - start).tolist()
+            yield from (ids[a:b] for a, b in zip(places, places[1:]))
+            k = last
+
 
 def rank(bitmap: np.ndarray, ranks: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Set bits before each place: the directory, then the bytes since its entry."""
@@ -353,11 +367,11 @@ class TokenFiles:
             for batch in batches:
                 for path, first in zip(batch["path"].to_pylist(), batch["first_token"].to_pylist()):
                     file = read_file(path)
-                    rows = []
-                    for k in range(file.n_docs):
-                        doc_id = int(file.doc_ids[k]) if file.known[k] else None
-                        start, end = int(file.ends[k]), int(file.ends[k + 1])
-                        rows.append((doc_id, first + start, end - start, *row(file.document(k))))
+                    names = zip(file.doc_ids.tolist(), file.known.tolist(), file.ends.tolist(), file.documents())
+                    rows = [
+                        (doc_id if known else None, first + start, len(ids), *row(ids))
+                        for doc_id, known, start, ids in names
+                    ]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow_schema)],
                         schema=arrow_schema,
