@@ -2,7 +2,8 @@
 
 Ids come from a public tokenizer. A text is cut before the single spaces between words, where
 neither kind of tokenizer used here ever joins tokens, and every distinct piece is encoded once
-per Python worker; the ids of the pieces follow each other.
+per Python worker and looked up once per few megabytes of texts; the ids of the pieces follow
+each other.
 
 A file of ids splits every id into 8-bit chunks. Level 0 holds the low chunk of every id, level
 1 the next chunk of those ids that have one, and so on. A bitmap per level marks the ids that
@@ -15,15 +16,18 @@ from __future__ import annotations
 import gc
 import os
 import re
+import string
 import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from codecs import charmap_decode
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -34,19 +38,22 @@ from tagspark.sources.staging import new_path, stage
 
 # Pieces that a worker remembers, twice: those seen since the last turnover, and those before.
 REMEMBERED = 400_000
-ROWS_AT_ONCE = 256
+# Bytes of texts that are encoded at a time, up to the end of a text.
+TEXT_AT_ONCE = 4 << 20
 # Tokens that are read back at a time, or one longer document.
 TOKENS_AT_ONCE = 1 << 18
 # Stands for a line end that starts a piece.
 LINE = "\x00"
+# Marks that are one piece where they follow letters. An apostrophe may join with letters.
+MARKS = string.punctuation.replace("'", "")
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that byte-level vocabularies write for each byte."""
+def byte_letters() -> str:
+    """The printable letters that byte-level vocabularies write for the bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-    return [letters[b] for b in range(256)]
+    return "".join([letters[b] for b in range(256)])
 
 
 class Encoder:
@@ -64,112 +71,169 @@ class Encoder:
         # seen with its neighbours.
         self.words: dict[str, bytes | None] = {"": None, LINE: None}
         self.before: dict[str, bytes | None] = {}
-        self.marks = {mark: self.ids([mark])[0] for mark in ",."}
+        # Ids of a line end, and of runs of marks after a word.
+        self.line = self.ids(["\n"])[0]
+        self.marks: dict[str, bytes] = {}
         self.spell = self.find_spelling()
 
-    def find_spelling(self) -> Callable[[str], str] | None:
-        """How the tokenizer's model sees " " + a word of letters, if it is one of two known ways."""
-        space = self.letters[32]
-
-        def spelled(w: str) -> str:
-            # ASCII letters are their own letters.
-            return w if w.isascii() else "".join([self.letters[b] for b in w.encode()])
-
-        ways = (lambda w: space + spelled(w), lambda w: spelled(w.lower()))
+    def find_spelling(self) -> tuple[str, bool] | None:
+        """How the tokenizer's model sees a word of letters, if it is one of two known ways: what
+        stands for a space before it, and whether it is in lower case."""
         probes = ["the", "Éta", "größe", "Streing", "ñaRÇ", "a"]
-        wanted = self.ids([" " + w for w in probes])
-        for way in ways:
-            if [self.model_ids(way(w)) for w in probes] == wanted:
-                return way
+        wanted = self.ids([" " + w for w in probes]), self.ids(["\n" + w for w in probes])
+        for space, lower in ((self.letters[32], False), ("", True)):
+            bare = [self.spelled(w.lower() if lower else w) for w in probes]
+            after_line = [self.line + ids for ids in self.model_ids(bare)]
+            if (self.model_ids([space + w for w in bare]), after_line) == wanted:
+                return space, lower
         return None
 
-    def model_ids(self, spelled: str) -> bytes:
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
+    def spelled(self, word: str) -> str:
+        # ASCII letters are their own letters.
+        return word if word.isascii() else charmap_decode(word.encode(), "strict", self.letters)[0]
+
+    def model_ids(self, spelled: Iterable[str]) -> list[bytes]:
+        ids, ends, tokenize = array("I"), [0], self.model.tokenize
+        for word in spelled:
+            ids.extend([t.id for t in tokenize(word)])
+            ends.append(4 * len(ids))
         if sys.byteorder != "little":
             ids.byteswap()
-        return ids.tobytes()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
     def ids(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def learn(self, new: set[str]) -> None:
-        """Remember the ids of new words. A word of Latin letters, with or without a final
-        mark, is one or two pieces to any of these tokenizers, so the mark is split off."""
-        others, words, before = [], self.words, self.before
-        spell, ids_of, marks = self.spell, self.model_ids, self.marks
+    def learn(self, new: list[str]) -> list[bytes | None]:
+        """Ids of new words, which are remembered. Latin letters, and a run of marks after them,
+        are a piece each to any of these tokenizers, so only the letters are remembered there."""
+        words, before, marks, spelled = self.words, self.before, self.marks, self.spelled
+        space, lower = self.spell or ("", False)
+        keys: list[str] = []
+        others: list[str] = []
+        # How words of letters are spelled, after a space and after a line end.
+        spaced: dict[str, str] = {}
+        opening: dict[str, str] = {}
         for word in new:
-            ids = before.get(word)
-            if ids is None:
-                base, mark = (word, None) if word.isalpha() else (word[:-1], marks.get(word[-1]))
-                if spell and (base is word or (mark and base.isalpha())) and (base.isascii() or max(base) < "\u0100"):
-                    if mark is None:
-                        ids = ids_of(spell(base))
-                    else:
-                        ids = words.get(base) or before.get(base)
-                        if ids is None:
-                            words[base] = ids = ids_of(spell(base))
-                        ids += mark
-                elif word[0].isspace() or (word[0] == LINE and word[1:2].isspace()):
-                    ids = None
+            key = word if word.isalpha() else word.rstrip(MARKS)
+            first = word[0] == LINE
+            letters = key[1:] if first else key
+            plain = self.spell and letters.isalpha() and (letters.isascii() or max(letters) < "\u0100")
+            if not plain:
+                key = word
+            keys.append(key)
+            if key in words:
+                continue
+            ids = before.get(key)
+            if ids is not None:
+                words[key] = ids
+            elif plain:
+                if lower:
+                    letters = letters.lower()
+                if first:
+                    opening[key] = spelled(letters)
                 else:
-                    others.append(word)
-                    continue
-            words[word] = ids
+                    spaced[key] = space + spelled(letters)
+            elif word[0].isspace() or (first and word[1:2].isspace()):
+                words[key] = None
+            else:
+                others.append(key)
+        words.update(zip(spaced, self.model_ids(spaced.values())))
+        words.update(zip(opening, [self.line + ids for ids in self.model_ids(opening.values())]))
         pieces = ["\n" + w[1:] if w[0] == LINE else " " + w for w in others]
         words.update(zip(others, self.ids(pieces)))
+        found = []
+        for word, key in zip(new, keys):
+            ids = words[key]
+            if len(key) < len(word):
+                run = word[len(key) :]
+                if run not in marks:
+                    marks[run] = self.ids([run])[0]
+                ids += marks[run]
+            found.append(ids)
+        return found
+
+    def known(self, distinct: list[str]) -> list[bytes | None]:
+        """Ids of distinct words; the new ones among them are learned in one go."""
+        get = self.words.get
+        found = [get(word, False) for word in distinct]
+        new = [k for k, ids in enumerate(found) if ids is False]
+        for k, ids in zip(new, self.learn([distinct[k] for k in new])):
+            found[k] = ids
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # Nothing here makes cycles, and the many small lists would set the collector off often.
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self.encode_new(texts)
+            return self.encode_new(texts) if texts else []
         finally:
             if collecting:
                 gc.enable()
 
     def encode_new(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
+        if len(self.words) + len(self.marks) > REMEMBERED:
             self.words, self.before = {"": None, LINE: None}, self.words
+            self.marks.clear()
         # A text with the stand-in itself is encoded as it is.
-        split = [
-            text.replace("\n", " " + LINE).split(" ") if LINE not in text else [text]
-            for text in texts
+        whole = [LINE in text for text in texts]
+        column = pa.array(["" if w else text for w, text in zip(whole, texts)], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " " + LINE), " ")
+        starts = split.offsets.to_numpy()
+        # A word is looked up once, however often the texts have it.
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = coded.indices.to_numpy().copy()
+        found = self.known(words)
+        opening = [
+            text if w else words[k] for w, text, k in zip(whole, texts, at[starts[:-1]].tolist())
         ]
-        firsts = self.ids([words.pop(0) for words in split])
-        # The new words of all texts are learned in one go.
-        self.learn(set().union(*split).difference(self.words))
-        get = self.words.get
-        found = [list(map(get, words)) for words in split]
-        encoded: list[bytes | None] = []
-        spaced = []
-        for k, (first, rest) in enumerate(zip(firsts, found)):
-            try:
-                encoded.append(first + b"".join(rest))
-            except TypeError:
-                # Where something is unknown even now, the white space around it has to be seen.
-                spaced.append(k)
-                encoded.append(None)
-        pieces = [self.around_spaces(texts[k], split[k], found[k]) for k in spaced]
-        flat = iter(self.ids([piece for parts in pieces for piece in parts]))
-        for k, parts in zip(spaced, pieces):
-            encoded[k] = b"".join([next(flat) for _ in parts])
+        firsts = self.ids(opening)
+        # The first words are not after a space.
+        at[starts[:-1]] = len(words)
+        rest = pa.array([*found, b""], pa.large_binary()).take(pa.array(at))
+        _, offsets, data = rest.buffers()
+        places = np.frombuffer(offsets, np.int64, len(rest) + 1)[starts].tolist()
+        view = memoryview(data or b"")
+        encoded = [first + view[a:b] for first, a, b in zip(firsts, places, places[1:])]
+        if rest.null_count:
+            # Where something is unknown even now, the white space around it has to be seen.
+            unknown = rest.is_null().to_numpy(zero_copy_only=False)
+            spaced = np.flatnonzero(np.logical_or.reduceat(unknown, starts[:-1])).tolist()
+            parts = []
+            for k in spaced:
+                after = at[starts[k] + 1 : starts[k + 1]].tolist()
+                parts.append(
+                    self.around_spaces(opening[k], firsts[k], [words[j] for j in after], [found[j] for j in after])
+                )
+            pieces = list({part for each in parts for part in each if isinstance(part, str)})
+            ids = dict(zip(pieces, self.ids(pieces)))
+            for k, each in zip(spaced, parts):
+                encoded[k] = b"".join([ids[x] if isinstance(x, str) else x for x in each])
         return encoded
 
-    def around_spaces(self, text: str, words: list[str], rest: list[bytes | None]) -> list[str]:
-        """Pieces of a text with runs of white space, none of which is cut.
+    def around_spaces(
+        self, first: str, first_ids: bytes, words: list[str], rest: list[bytes | None]
+    ) -> list[str | bytes]:
+        """A text with runs of white space, as the ids of the words that stand alone and, whole,
+        the pieces with such runs.
 
         `words` and `rest` are its words after the first, and what is known of them.
         """
-        pieces = [re.match("[^ \n]*", text)[0] if words else text]
+        parts: list[str | bytes] = []
+        held, alone = [first], first_ids
         for word, ids in zip(words, rest):
             part = "\n" + word[1:] if word[:1] == LINE else " " + word
-            if ids is None or pieces[-1][-1:].isspace():
-                pieces[-1] += part
+            if ids is None or held[-1][-1:].isspace():
+                held.append(part)
             else:
-                pieces.append(part)
-        return pieces
+                parts.append(alone if len(held) == 1 else "".join(held))
+                held, alone = [part], ids
+        parts.append(alone if len(held) == 1 else "".join(held))
+        return parts
 
 
 def encoded_rows(
@@ -179,8 +243,10 @@ def encoded_rows(
     encoder = worker_memo(f"encoder {tokenizer_file}", lambda: Encoder(tokenizer_file))
     end = struct.pack("<I", end_id)
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(at, ROWS_AT_ONCE)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TEXT_AT_ONCE)) + 1
+        for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            part = batch.slice(at, to - at)
             texts = [t or "" for t in part.column("text").to_pylist()]
             yield from (
                 (i, ids + end)
